@@ -1,11 +1,17 @@
 """Implausible readings relative to what is normal for their source.
 
-A source is a table and a symbol; its readings are taken in order of time, cut
-into stretches of time so that no task holds a whole source. Windows run inside
-a stretch; readings near its edges are done again over the edges alone, a few
-rows for each stretch. The moves from one reading to the next go into quantile
-sketches by source and hour of the day, which are merged to one per source; the
-runs of equal readings go into an exact histogram of lengths.
+A source is a table and a symbol; its readings are cut into stretches of time,
+so that no task holds a whole source. Two passes over the readings, each sorted
+by stretch and time and taken a bounded number of rows at a time:
+
+1. The survey puts the moves from one reading to the next into quantile
+   sketches (counts of logarithmic bins with a fixed relative error, merged by
+   adding) by source and hour of the day, the lengths of runs of equal readings
+   into a histogram, and notes the readings and runs at the edges of each
+   stretch. The result is a small table; from it come each source's fence, its
+   longest usual run and the runs that go on over an edge.
+2. The flagging gives each stretch the few readings beside it and its source's
+   limits, and looks at every reading once.
 
 Flags: ``value`` (zero, negative, infinite), ``jump`` (beyond the expanded
 interquartile fence of the source's moves from the readings on both sides, back
@@ -15,13 +21,15 @@ several times as long as the source's runs otherwise get).
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import small, us
+from ..session import written
 from .nearest import plain, symbol_names
 from .timestamps import normalise_bars
 
@@ -33,86 +41,238 @@ FENCE = 3.0
 FACTOR = 2.0
 #: A run is stuck from so many times the 90th percentile of the source's runs on, and from so many readings.
 RUN_FACTOR, RUN_LEAST = 3.0, 8
-#: Size of the quantile sketches.
-SKETCH = 400
+#: Relative error of the sketches, and the moves from which an hour's own sketch widens the fence.
+ERROR, HOUR_MOVES = 0.01, 500
+_BIN = float(np.log((1 + ERROR) / (1 - ERROR)))
+#: Rows gathered before whole stretches are worked on.
+ROWS = 200_000
 
 _KEY = ("tab", "symbol")
+_DAY, _HOUR = 86_400_000_000, 3_600_000_000
 
 
 def readings(quotes: DataFrame, fills: DataFrame, bars: DataFrame, instruments: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``tab``, ``symbol``, ``stretch``, ``t``, ``id``, ``x`` of all readings that aren't missing."""
-    day = 86_400_000_000
-    q = quotes.select(F.lit("quotes").alias("tab"), "symbol", us(F.col("time")).alias("t"), F.col("quote_id").alias("id"), F.col("ask").alias("x"), F.lit(day).alias("w"))
+    """``tab`` (place in ``TABS``), ``symbol``, ``stretch``, ``t``, ``id``, ``x`` of all readings that aren't missing."""
+    q = quotes.select(F.lit(0).alias("tab"), "symbol", us(F.col("time")).alias("t"), F.col("quote_id").alias("id"), F.col("ask").alias("x"), F.lit(_DAY).alias("w"))
     f = fills.withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(instruments)), F.col("_n") == F.col("_name"))
-    f = f.select(F.lit("fills").alias("tab"), F.col("_symbol").alias("symbol"), us(F.col("time")).alias("t"), F.col("fill_id").alias("id"), F.col("price").alias("x"), F.lit(16 * day).alias("w"))
+    f = f.select(F.lit(1).alias("tab"), F.col("_symbol").alias("symbol"), us(F.col("time")).alias("t"), F.col("fill_id").alias("id"), F.col("price").alias("x"), F.lit(16 * _DAY).alias("w"))
     b = normalise_bars(bars.select("bar_id", "feed", "symbol", "date", "close"), feeds)
-    b = b.select(F.lit("daily_bars").alias("tab"), "symbol", F.col("utc_us").alias("t"), F.col("bar_id").alias("id"), F.col("close").alias("x"), F.lit(4000 * day).alias("w"))
+    b = b.select(F.lit(2).alias("tab"), "symbol", F.col("utc_us").alias("t"), F.col("bar_id").alias("id"), F.col("close").alias("x"), F.lit(4000 * _DAY).alias("w"))
     all_ = q.unionByName(f).unionByName(b).filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("t").isNotNull() & F.col("symbol").isNotNull() & F.col("id").isNotNull())
     return all_.withColumn("stretch", F.floor(F.col("t") / F.col("w"))).drop("w")
 
 
-def _neighbours(r: DataFrame, k: int) -> DataFrame:
-    """``r`` with ``b1..bk`` and ``a1..ak``: the logs of the readings before and after, across stretches."""
-    inner, whole = Window.partitionBy(*_KEY, "stretch").orderBy("t", "id"), Window.partitionBy(*_KEY).orderBy("t", "id")
-    beside = lambda w: {f"b{j}": F.lag("l", j).over(w) for j in range(1, k + 1)} | {f"a{j}": F.lead("l", j).over(w) for j in range(1, k + 1)}
-    x = r.withColumns({"_rn": F.row_number().over(inner), "_n": F.count(F.lit(1)).over(Window.partitionBy(*_KEY, "stretch"))})
-    middle = (F.col("_rn") > k) & (F.col("_n") - F.col("_rn") >= k)
-    near = (F.col("_rn") <= 2 * k) | (F.col("_n") - F.col("_rn") < 2 * k)
-    a = x.withColumns(beside(inner)).filter(middle)
-    b = x.filter(near).withColumns(beside(whole)).filter(~middle)
-    return a.unionByName(b).drop("_rn", "_n")
-
-
-def _fences(n: DataFrame) -> DataFrame:
-    """``reach``: how far the regular moves of each source go, from its merged sketches."""
-    move = F.abs(F.col("l") - F.col("b1"))
-    by_hour = n.filter(move > 0).groupBy(*_KEY, F.floor(F.pmod(F.col("t"), F.lit(86_400_000_000)) / 3_600_000_000).alias("hour")).agg(F.kll_sketch_agg_double(move, F.lit(SKETCH)).alias("s"))
-    s = by_hour.groupBy(*_KEY).agg(F.kll_merge_agg_double("s").alias("s"))
-    q1, q3 = (F.kll_sketch_get_quantile_double("s", F.lit(p)) for p in (0.25, 0.75))
-    return s.select(*_KEY, q1.alias("q1"), q3.alias("q3")).select(*_KEY, (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("reach"))
-
-
-def _jump(k: int = LONGEST) -> Column:
-    """Whether the reading lies in an excursion of at most ``k`` readings."""
-    v = {0: F.col("l")} | {-j: F.col(f"b{j}") for j in range(1, k + 1)} | {j: F.col(f"a{j}") for j in range(1, k + 1)}
-    far = F.col("reach") * FACTOR
-    apart = lambda a, b: F.abs(v[a] - v[b]) >= far
-    ways = []
-    for p in range(k):
-        for q in range(k - p):
-            off = [apart(j, e) for j in range(-p, q + 1) for e in (-p - 1, q + 1)]
-            ways.append(reduce(and_, off) & (F.abs(v[-p - 1] - v[q + 1]) < far))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole stretches, with the number of each row's stretch."""
+    kept: list[pa.RecordBatch] = []
+    rows = 0
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for name in (*_KEY, "stretch"):
+            col = table.column(name).combine_chunks()
+            col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+            code = col.dictionary_encode().indices.to_numpy() if name == "symbol" else col.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            rows += batch.num_rows
+        if rows >= ROWS:
+            table = pa.Table.from_batches(kept)
+            own = numbered(table)
+            cut = int(np.searchsorted(own, own[-1]))
+            if cut:
+                yield table.slice(0, cut), own[:cut]
+                kept, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        table = pa.Table.from_batches(kept)
+        yield table, numbered(table)
+
+
+def _fresh(own: np.ndarray, t: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """False for a row that repeats the one before."""
+    return np.r_[True, (own[1:] != own[:-1]) | (t[1:] != t[:-1]) | (ident[1:] != ident[:-1])]
+
+
+_SURVEY = "kind int, tab int, symbol string, stretch bigint, k int, a bigint, n bigint, x double"
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds: 0 moves (k hour, a bin), 1 runs inside a stretch (a length), 2 run at an edge
+    (k 1 first, 2 last, 3 both; a length), 3 reading near an edge (a time, n id)."""
+    for table, own in _chunks(batches):
+        get = lambda n, table=table: table.column(n).to_numpy()
+        keep = _fresh(own, get("t"), get("id"))
+        own, tab, stretch, t, ident, x = own[keep], get("tab")[keep], get("stretch")[keep], get("t")[keep], get("id")[keep], get("x")[keep]
+        row = np.flatnonzero(keep)
+        n = len(own)
+        first = np.r_[True, own[1:] != own[:-1]]
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], n)
+        place = np.arange(n) - np.repeat(start, end - start)
+        left = np.repeat(end, end - start) - np.arange(n) - 1
+        out = []
+        log = np.log(x)
+        move = np.abs(np.diff(log, prepend=log[:1]))
+        some = ~first & (move > 0)
+        hour = (t[some] % _DAY) // _HOUR
+        out.append((0, row[some], hour, np.ceil(np.log(move[some]) / _BIN).astype(np.int64), np.ones(int(some.sum()), np.int64), None))
+        run = np.flatnonzero(first | (np.diff(x, prepend=x[:1]) != 0))
+        length = np.diff(np.append(run, n))
+        head, tail = first[run], left[run + length - 1] == 0
+        inner = ~head & ~tail
+        out.append((1, row[run[inner]], None, length[inner], np.ones(int(inner.sum()), np.int64), None))
+        edge = head | tail
+        out.append((2, row[run[edge]], head[edge] + 2 * tail[edge], length[edge], None, x[run[edge]]))
+        near = (place < LONGEST) | (left < LONGEST)
+        out.append((3, row[near], None, t[near], ident[near], x[near]))
+        for kind, at, k, a, m, v in out:
+            size, at = len(at), pa.array(at)
+            full = lambda z, size=size: np.zeros(size, np.int64) if z is None else z
+            part = pa.table({
+                "kind": pa.array(np.full(size, kind), pa.int32()),
+                "tab": table.column("tab").take(at),
+                "symbol": table.column("symbol").take(at),
+                "stretch": table.column("stretch").take(at) if kind > 1 else pa.array(np.zeros(size, np.int64)),
+                "k": pa.array(full(k), pa.int32()),
+                "a": pa.array(full(a), pa.int64()),
+                "n": pa.array(full(m), pa.int64()),
+                "x": pa.array(np.zeros(size) if v is None else v, pa.float64()),
+            })
+            if kind < 2:
+                part = part.group_by(["kind", "tab", "symbol", "stretch", "k", "a"]).aggregate([("n", "sum")]).rename_columns(["kind", "tab", "symbol", "stretch", "k", "a", "n"])
+                part = part.append_column("x", pa.array(np.zeros(part.num_rows)))
+            yield from part.select(["kind", "tab", "symbol", "stretch", "k", "a", "n", "x"]).combine_chunks().to_batches()
+
+
+def _quartiles(bins: DataFrame, by: list[str]) -> DataFrame:
+    """``reach`` and ``n`` of sketches: the expanded fence of the moves that they count."""
+    up = Window.partitionBy(*by).orderBy("a")
+    c = bins.groupBy(*by, "a").agg(F.sum("n").alias("n"))
+    c = c.withColumns({"below": F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(*by))})
+    middle = F.exp((F.col("a") - 0.5) * _BIN)  # of a bin, within the relative error of all its values
+    at = lambda p: F.min(F.when(F.col("below") >= p * F.col("all"), middle))
+    q = c.groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("n"))
+    return q.select(*by, "n", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("reach"))
+
+
+_HEADER = ("tab", "symbol", "stretch", "kind", "t", "id", "x", "e")
+
+
+def _context(s: DataFrame) -> DataFrame:
+    """Rows that go before and beside the readings of each stretch, from the survey.
+
+    kind 0: the source's limits (x reach, t run limit, id length of the run that
+    the stretch's first run is part of, e that of the last one times two, plus
+    one if the first run goes on from an earlier stretch). kind 1: an hour (t)
+    with a wider reach (x). kind 2, e 1: a reading beside the stretch.
+    """
+    source = Window.partitionBy(*_KEY)
+    # runs over edges: the last run of a stretch and the first one of the next
+    chain = source.orderBy("stretch", "k")
+    new = (F.col("x") != F.lag("x").over(chain)) | (F.col("stretch") == F.lag("stretch").over(chain))
+    edge = s.filter("kind = 2").withColumn("_new", F.coalesce(new.cast("int"), F.lit(1)))
+    edge = edge.withColumn("_chain", F.sum("_new").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.withColumn("total", F.sum("a").over(Window.partitionBy(*_KEY, "_chain")))
+    lengths = s.filter("kind = 1").select(*_KEY, "a", "n").unionByName(edge.filter("_new = 1").select(*_KEY, F.col("total").alias("a"), F.lit(1).cast("bigint").alias("n")))
+    lengths = lengths.groupBy(*_KEY, "a").agg(F.sum("n").alias("n"))
+    up = source.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = lengths.withColumns({"below": F.sum("n").over(up), "all": F.sum("n").over(source)})
+    limit = lengths.filter(F.col("below") >= 0.9 * F.col("all")).groupBy(*_KEY).agg(F.greatest(F.ceil(F.min("a") * RUN_FACTOR + 1), F.lit(RUN_LEAST)).alias("limit"))
+    ends = edge.groupBy(*_KEY, "stretch").agg(
+        F.max(F.when(F.col("k") % 2 == 1, F.col("total"))).alias("head"), F.max(F.when(F.col("k") >= 2, F.col("total"))).alias("tail"), F.max(F.when(F.col("k") % 2 == 1, 1 - F.col("_new"))).alias("goes_on")
+    )
+    # moves over edges belong to the sketches too
+    order = source.orderBy("stretch", "a", "n")
+    near = s.filter("kind = 3").withColumns({"_s": F.lag("stretch").over(order), "_m": F.abs(F.log("x") - F.log(F.lag("x").over(order)))})
+    over = near.filter((F.col("_s") != F.col("stretch")) & (F.col("_m") > 0)).select(*_KEY, F.floor(F.pmod(F.col("a"), F.lit(_DAY)) / _HOUR).cast("int").alias("k"), F.ceil(F.log("_m") / _BIN).alias("a"), F.lit(1).cast("bigint").alias("n"))
+    bins = s.filter("kind = 0").select(*_KEY, "k", "a", "n").unionByName(over).groupBy(*_KEY, "k", "a").agg(F.sum("n").alias("n"))
+    reach, hourly = _quartiles(bins, [*_KEY]).drop("n"), _quartiles(bins, [*_KEY, "k"]).filter(F.col("n") >= HOUR_MOVES)
+    wide = hourly.withColumnRenamed("reach", "wider").join(reach, list(_KEY)).filter(F.col("wider") > F.col("reach"))
+    limits = ends.join(limit, list(_KEY)).join(reach, list(_KEY), "left")
+    a = limits.select(*_KEY, "stretch", F.lit(0).alias("kind"), F.col("limit").cast("bigint").alias("t"), F.col("head").alias("id"), F.coalesce("reach", F.lit(float("inf"))).alias("x"), (F.col("tail") * 2 + F.col("goes_on")).alias("e"))
+    b = ends.select(*_KEY, "stretch").join(wide, list(_KEY)).select(*_KEY, "stretch", F.lit(1).alias("kind"), F.col("k").cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"), F.col("wider").alias("x"), F.lit(0).cast("bigint").alias("e"))
+    # each reading near an edge also goes to the stretches of the readings up to LONGEST places away
+    beside = F.array_distinct(F.array_compact(F.array(*[f("stretch", j).over(order) for f in (F.lag, F.lead) for j in range(1, LONGEST + 1)])))
+    c = s.filter("kind = 3").withColumn("_beside", beside).withColumn("_to", F.explode("_beside")).filter(F.col("_to") != F.col("stretch"))
+    c = c.select(*_KEY, F.col("_to").alias("stretch"), F.lit(2).alias("kind"), F.col("a").alias("t"), F.col("n").alias("id"), "x", F.lit(1).cast("bigint").alias("e"))
+    return a.unionByName(b).unionByName(c).select(*_HEADER)
+
+
+def _jumps(own: np.ndarray, log: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which readings lie in an excursion of at most ``LONGEST`` readings."""
+    n, k = len(log), LONGEST
+    move = np.abs(np.diff(log, prepend=np.nan))
+    move[np.r_[True, own[1:] != own[:-1]]] = 0
+    padded = np.r_[np.zeros(k), move, np.zeros(k)]
+    rough = np.max([padded[k + j : k + j + n] for j in range(1 - k, k + 1)], axis=0)
+    at = np.flatnonzero(rough >= FACTOR * reach)
+    if not len(at):
+        return np.zeros(n, bool)
+    v = {}
+    for j in range(-k, k + 1):
+        to = np.clip(at + j, 0, n - 1)
+        v[j] = np.where((at + j >= 0) & (at + j < n) & (own[to] == own[at]), log[to], np.nan)
+    far, hit = FACTOR * reach[at], np.zeros(len(at), bool)
+    with np.errstate(invalid="ignore"):
+        for p in range(k):
+            for q in range(k - p):
+                lo, hi = v[-p - 1], v[q + 1]
+                ok = np.abs(lo - hi) < far
+                for j in range(-p, q + 1):
+                    ok &= (np.abs(v[j] - lo) >= far) & (np.abs(v[j] - hi) >= far)
+                hit |= ok
     # between two spikes a regular reading also stands off; the middle of its surroundings tells
-    around = F.array_sort(F.array_compact(F.array(*[v[j] for j in v if j])))
-    m = F.size(around)
-    median = (F.get(around, F.floor((m - 1) / 2).cast("int")) + F.get(around, F.floor(m / 2).cast("int"))) / 2
-    rough = F.greatest(*[F.abs(v[j] - v[j - 1]) for j in range(1 - k, k + 1)]) >= far
-    return F.coalesce(rough & reduce(or_, ways) & (F.abs(v[0] - median) >= F.col("reach")), F.lit(False))
-
-
-def _stuck(r: DataFrame) -> DataFrame:
-    """``tab``, ``id`` of readings that repeat the one before within a run that is too long."""
-    part = [*_KEY, "stretch"]
-    w = Window.partitionBy(*part).orderBy("t", "id")
-    x = r.withColumn("_new", F.coalesce((F.col("x") != F.lag("x").over(w)).cast("int"), F.lit(1)))
-    x = x.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seg = x.groupBy(*part, "run").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct("t", "id")).alias("begin"), F.first("x").alias("x"))
-    seg = seg.withColumn("_last", F.max("run").over(Window.partitionBy(*part)))
-    edge = (F.col("run") == 1) | (F.col("run") == F.col("_last"))
-    # the first and last run of each stretch: a run that goes on over the edge is one run
-    chain = Window.partitionBy(*_KEY).orderBy("stretch", "run")
-    e = seg.filter(edge).withColumn("_cut", F.coalesce(((F.col("x") != F.lag("x").over(chain)) | (F.col("stretch") == F.lag("stretch").over(chain))).cast("int"), F.lit(1)))
-    e = e.withColumn("_chain", F.sum("_cut").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*_KEY, "_chain")
-    e = e.withColumns({"total": F.sum("len").over(whole), "head": F.min("begin").over(whole)})
-    runs = seg.filter(~edge).select(*part, "run", F.col("len").alias("total"), F.col("begin").alias("head"), F.lit(1).alias("_cut")).unionByName(e.select(*part, "run", "total", "head", "_cut"))
-    lengths = runs.filter("_cut = 1").groupBy(*_KEY, "total").agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(*_KEY).orderBy("total")
-    lengths = lengths.withColumns({"below": F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(*_KEY))})
-    usual = lengths.filter(F.col("below") >= 0.9 * F.col("all")).groupBy(*_KEY).agg(F.min("total").alias("q90"))
-    long = runs.filter(F.col("total") >= RUN_LEAST).join(usual, list(_KEY)).filter(F.col("total") >= RUN_FACTOR * F.col("q90") + 1)
-    rows = x.select(*part, "run", "t", "id").join(long.select(*part, "run", "head"), [*part, "run"])
-    return rows.filter((F.col("t") != F.col("head.t")) | (F.col("id") != F.col("head.id"))).select("tab", "id")
+    at, far = at[hit], far[hit]
+    around = np.stack([v[j][hit] for j in v if j])
+    middle = np.nanmedian(around, axis=0) if len(at) else np.zeros(0)
+    out = np.zeros(n, bool)
+    out[at[np.abs(log[at] - middle) >= reach[at]]] = True
+    return out
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table, own in _chunks(batches):
+        get = lambda n, table=table: table.column(n).to_numpy()
+        kind, t, ident, x, e = get("kind"), get("t"), get("id"), get("x"), get("e")
+        groups = int(own[-1]) + 1
+        reach, limit, head, tail, goes_on = np.full((groups, 24), np.inf), np.full(groups, 2**60), np.zeros(groups, np.int64), np.zeros(groups, np.int64), np.zeros(groups, bool)
+        h = kind == 0
+        reach[own[h]] = x[h][:, None]
+        limit[own[h]], head[own[h]], tail[own[h]], goes_on[own[h]] = t[h], ident[h], e[h] // 2, e[h] % 2 == 1
+        w = kind == 1
+        reach[own[w], t[w]] = x[w]
+        rows = kind == 2
+        at, own, t, ident, x, real = np.flatnonzero(rows), own[rows], t[rows], ident[rows], x[rows], e[rows] == 0
+        if not len(at):
+            continue
+        keep = _fresh(own, t, ident)
+        at, own, t, ident, x, real = at[keep], own[keep], t[keep], ident[keep], x[keep], real[keep]
+        jump = _jumps(own, np.log(x), reach[own, (t % _DAY) // _HOUR]) & real
+        # runs, over the readings of the stretch itself
+        r_at, r_own, r_x = at[real], own[real], x[real]
+        n = len(r_at)
+        first = np.r_[True, r_own[1:] != r_own[:-1]][:n]
+        start = np.flatnonzero(first | (np.diff(r_x, prepend=r_x[:1]) != 0))
+        length = np.diff(np.append(start, n))
+        total, group = length.copy(), r_own[start]
+        ends = np.r_[group[1:] != group[:-1], True][: len(group)]
+        total[ends] = tail[group[ends]]
+        total[first[start]] = head[group[first[start]]]
+        long = total >= limit[group]
+        begins = np.zeros(n, bool)
+        begins[start[~(first[start] & goes_on[group])]] = True
+        stuck = np.repeat(long, length) & ~begins
+        for rows_, flag in ((at[jump], "jump"), (r_at[stuck], "stuck")):
+            if len(rows_):
+                i = pa.array(rows_)
+                yield from pa.table({"tab": table.column("tab").take(i), "rec_id": table.column("id").take(i), "flag": pa.array([flag] * len(rows_))}).combine_chunks().to_batches()
+
+
+TABS = ("quotes", "fills", "daily_bars")
 
 
 def implausible(r: DataFrame) -> DataFrame:
@@ -122,15 +282,17 @@ def implausible(r: DataFrame) -> DataFrame:
     times are taken by id. Zero, negative and infinite readings are flagged and
     left out of the order. A source with fewer than two different readings has no
     jumps. The first and the last readings of a source, which have nothing on one
-    side, are no jumps. Empty tables give no rows.
+    side, are no jumps. Empty tables give no rows. The survey's table is written
+    to the shared folder.
     """
     good = (F.col("x") > 0) & (F.col("x") != float("inf"))
     bad = r.filter(~good).select("tab", F.col("id").alias("rec_id"), F.lit("value").alias("flag")).distinct()
-    part = r.filter(good).repartition(*_KEY, "stretch").dropDuplicates([*_KEY, "stretch", "t", "id"])
-    n = _neighbours(part.select(*_KEY, "stretch", "t", "id", F.log("x").alias("l")), LONGEST)
-    jump = n.join(_fences(n), list(_KEY)).filter(_jump()).select("tab", F.col("id").alias("rec_id"), F.lit("jump").alias("flag"))
-    stuck = _stuck(part).select("tab", F.col("id").alias("rec_id"), F.lit("stuck").alias("flag"))
-    return bad.unionByName(jump).unionByName(stuck)
+    part = r.filter(good).select("tab", "symbol", "stretch", "t", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
+    together = lambda df, *order: df.repartition(*_KEY, "stretch").sortWithinPartitions(*_KEY, "stretch", *order, "t", "id")
+    s = written(together(part).mapInArrow(_survey, _SURVEY))
+    data = part.select("tab", "symbol", "stretch", F.lit(2).alias("kind"), "t", "id", "x", F.lit(0).cast("bigint").alias("e"))
+    flagged = together(data.unionByName(_context(s)), "kind").mapInArrow(_flags, "tab int, rec_id bigint, flag string")
+    return bad.unionByName(flagged).withColumn("tab", F.element_at(F.array(*map(F.lit, TABS)), F.col("tab") + 1))
 
 
 def found(quotes: DataFrame, fills: DataFrame, bars: DataFrame, instruments: DataFrame, feeds: DataFrame) -> DataFrame:
