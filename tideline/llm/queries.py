@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..plans.registry import Registry
-from . import bpe
+from ..session import written
+from . import bpe, langid, mixing
 
 R = Registry()
 
@@ -11,3 +12,24 @@ R = Registry()
 @R.query("p6_ids")
 def _p6(t):
     return bpe.encode_corpus(t.documents)
+
+
+@R.query("p7_found")
+def _p7(t):
+    return mixing.found(t.documents, t.mix_targets)
+
+
+@R.query("p7_mix")
+def _p7_mix(t):
+    n = written(mixing.sizes(t.documents, t.mix_targets))
+    return mixing.place(n, mixing.schedule(n, t.mix_targets))
+
+
+@R.query("p8_found")
+def _p8(t):
+    return langid.found(t.documents, t.lang_samples)
+
+
+@R.query("p8_labels")
+def _p8_labels(t):
+    return langid.label_documents(t.documents, t.lang_samples)
