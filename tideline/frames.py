@@ -71,3 +71,8 @@ def so_far(w):
 def full(x: Column, w, n: int, value: Column) -> Column:
     """``value`` once ``n`` non-null ``x`` lie in the trailing frame, else null."""
     return F.when(F.count(x).over(trailing(w, n)) == n, value)
+
+
+def by_symbol():
+    """The window of a symbol's rows in order of time (needs a session, so it is made when used)."""
+    return Window.partitionBy("symbol").orderBy("ts")

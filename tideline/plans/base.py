@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import by_symbol
 from ..operators.resample import bars as _bars
 
 #: Hourly bars of each event type.
@@ -14,8 +15,6 @@ arg_max(value, ts) as close, count(*)::double as volume from events group by 1,
 DAYS = """days as (select event_type as symbol, date_trunc('day', ts) as ts, arg_max(value, ts) as close, sum(value) as total, count(*) as n from events group by 1, 2)"""
 RETURNS = DAYS + ", rets as (select *, close / lag(close) over (partition by symbol order by ts) - 1 as r from days)"
 
-W = Window.partitionBy("symbol").orderBy("ts")
-
 
 def bars(t, freq: str = "1 hour") -> DataFrame:
     return _bars(t.events, "event_type", "ts", F.col("value"), freq, "event_id")
@@ -27,4 +26,4 @@ def days(t) -> DataFrame:
 
 
 def returns(t) -> DataFrame:
-    return days(t).withColumn("r", F.col("close") / F.lag("close").over(W) - 1)
+    return days(t).withColumn("r", F.col("close") / F.lag("close").over(by_symbol()) - 1)

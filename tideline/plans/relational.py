@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frames import full, so_far, trailing
+from ..frames import by_symbol, full, so_far, trailing
 from ..operators import joins, resample, rolling
-from .base import BARS, DAYS, RETURNS, W, bars, days, returns
+from .base import BARS, DAYS, RETURNS, bars, days, returns
 from .registry import Registry
 
 R = Registry()
@@ -170,7 +170,7 @@ select tr.symbol, trade, count(*) as n, max(high) as best, min(low) as worst fro
 )
 def _(t):
     b = bars(t)
-    d = b.withColumn("trade", F.row_number().over(W).cast("bigint")).filter("trade % 12 = 1")
+    d = b.withColumn("trade", F.row_number().over(by_symbol()).cast("bigint")).filter("trade % 12 = 1")
     tr = d.select("symbol", "trade", F.col("ts").alias("entry"), (F.col("ts") + F.expr("interval 9 hours")).alias("exit"))
     return joins.range_join(tr, b, "symbol", "entry", "exit", "ts").groupBy("symbol", "trade").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("best"), F.min("low").alias("worst"))
 
@@ -234,25 +234,25 @@ def _sql_full(n: int, expr: str) -> str:
 
 
 c = F.col
-_frame("lag_lead_shift", f"lag(close, 2) {_w}) as back, lead(close, 3) {_w}) as ahead", back=lambda: F.lag("close", 2).over(W), ahead=lambda: F.lead("close", 3).over(W))
-_frame("rolling_sum", f"case when row_number() {_w}) >= 5 then sum(coalesce(close, 0)) {_w} rows 4 preceding) end as s", s=lambda: rolling.rolling_sum(c("close"), W, 5))
-_frame("sma", f"{_sql_full(10, f'avg(close) {_w} rows 9 preceding)')} as m", m=lambda: rolling.sma(c("close"), W, 10))
-_frame("wma", "(" + " + ".join(f"lag(close, {4 - k}) {_w}) * {k + 1} / 15.0" for k in range(5)) + ") as m", m=lambda: rolling.wma(c("close"), W, 5))
-_frame("stdev_roll", f"{_sql_full(12, f'stddev_pop(close) {_w} rows 11 preceding)')} as s", s=lambda: rolling.stdev(c("close"), W, 12))
-_frame("vwap_roll", f"sum(close * volume) {_w} rows 7 preceding) / sum(volume) {_w} rows 7 preceding) as v", v=lambda: rolling.vwap(c("close"), c("volume"), W, 8))
-_frame("min_max_roll", f"max(high) {_w} rows 19 preceding) as hi, min(low) {_w} rows 19 preceding) as lo", hi=lambda: F.max("high").over(trailing(W, 20)), lo=lambda: F.min("low").over(trailing(W, 20)))
+_frame("lag_lead_shift", f"lag(close, 2) {_w}) as back, lead(close, 3) {_w}) as ahead", back=lambda: F.lag("close", 2).over(by_symbol()), ahead=lambda: F.lead("close", 3).over(by_symbol()))
+_frame("rolling_sum", f"case when row_number() {_w}) >= 5 then sum(coalesce(close, 0)) {_w} rows 4 preceding) end as s", s=lambda: rolling.rolling_sum(c("close"), by_symbol(), 5))
+_frame("sma", f"{_sql_full(10, f'avg(close) {_w} rows 9 preceding)')} as m", m=lambda: rolling.sma(c("close"), by_symbol(), 10))
+_frame("wma", "(" + " + ".join(f"lag(close, {4 - k}) {_w}) * {k + 1} / 15.0" for k in range(5)) + ") as m", m=lambda: rolling.wma(c("close"), by_symbol(), 5))
+_frame("stdev_roll", f"{_sql_full(12, f'stddev_pop(close) {_w} rows 11 preceding)')} as s", s=lambda: rolling.stdev(c("close"), by_symbol(), 12))
+_frame("vwap_roll", f"sum(close * volume) {_w} rows 7 preceding) / sum(volume) {_w} rows 7 preceding) as v", v=lambda: rolling.vwap(c("close"), c("volume"), by_symbol(), 8))
+_frame("min_max_roll", f"max(high) {_w} rows 19 preceding) as hi, min(low) {_w} rows 19 preceding) as lo", hi=lambda: F.max("high").over(trailing(by_symbol(), 20)), lo=lambda: F.min("low").over(trailing(by_symbol(), 20)))
 _frame(
     "stochastic",
     f"case when row_number() {_w}) >= 14 and max(high) {_w} rows 13 preceding) > min(low) {_w} rows 13 preceding) then 100 * (close - min(low) {_w} rows 13 preceding)) / (max(high) {_w} rows 13 preceding) - min(low) {_w} rows 13 preceding)) end as k",
-    k=lambda: rolling.stochastic(W, 14),
+    k=lambda: rolling.stochastic(by_symbol(), 14),
 )
-_frame("rolling_corr", f"case when count(close) {_w} rows 11 preceding) = 12 then corr(close, volume) {_w} rows 11 preceding) end as r", r=lambda: full(c("close"), W, 12, F.corr("close", "volume").over(trailing(W, 12))))
-_frame("percent_rank", f"case when row_number() {_w}) >= 20 then len(list_filter(list(close) {_w} rows between 19 preceding and 1 preceding), lambda v: v < close)) * 100.0 / 20 end as p", p=lambda: rolling.percent_rank(c("close"), W, 20))
+_frame("rolling_corr", f"case when count(close) {_w} rows 11 preceding) = 12 then corr(close, volume) {_w} rows 11 preceding) end as r", r=lambda: full(c("close"), by_symbol(), 12, F.corr("close", "volume").over(trailing(by_symbol(), 12))))
+_frame("percent_rank", f"case when row_number() {_w}) >= 20 then len(list_filter(list(close) {_w} rows between 19 preceding and 1 preceding), lambda v: v < close)) * 100.0 / 20 end as p", p=lambda: rolling.percent_rank(c("close"), by_symbol(), 20))
 
 
 @R.query("rolling_percentile", f"with {BARS} select symbol, ts, " + ", ".join(f"round({_sql_full(20, f'quantile_cont(close, {q}) {_w} rows 19 preceding)')}, 6) as p{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + " from bars")
 def _(t):
-    x = bars(t).withColumn("p", rolling.percentiles(F.col("close"), W, 20, (0.05, 0.5, 0.95)))
+    x = bars(t).withColumn("p", rolling.percentiles(F.col("close"), by_symbol(), 20, (0.05, 0.5, 0.95)))
     return x.select("symbol", "ts", *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p5", "p50", "p95"))])
 
 
@@ -261,7 +261,7 @@ def _(t):
     f"with {BARS}, p as (select symbol, ts, close, count(close) {_w} rows between 20 preceding and 1 preceding) as n, " + ", ".join(f"quantile_cont(close, {q}) {_w} rows between 20 preceding and 1 preceding) as p{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " from bars) select symbol, ts, case when n = 20 then ((p25 <= close)::int + (p50 <= close)::int + (p75 <= close)::int) end as bucket from p",
 )
 def _(t):
-    return bars(t).select("symbol", "ts", rolling.rank_bucket(F.col("close"), W, 20).alias("bucket"))
+    return bars(t).select("symbol", "ts", rolling.rank_bucket(F.col("close"), by_symbol(), 20).alias("bucket"))
 
 
 _IDX = f"with {BARS}, i as (select *, row_number() {_w})::double as i from bars)"
@@ -269,7 +269,7 @@ _IDX = f"with {BARS}, i as (select *, row_number() {_w})::double as i from bars)
 
 @R.query("rolling_slope_r2", f"{_IDX}, x as (select symbol, ts, {_sql_full(10, f'regr_slope(close, i) {_w} rows 9 preceding)')} as slope, {_sql_full(10, f'regr_r2(close, i) {_w} rows 9 preceding)')} as slope_r2 from i) select symbol, ts, round(slope, 6) as slope, round(slope_r2, 6) as slope_r2 from x")
 def _(t):
-    return rolling.with_slope(bars(t), "close", W, 10).select("symbol", "ts", F.round("slope", 6).alias("slope"), F.round("slope_r2", 6).alias("slope_r2"))
+    return rolling.with_slope(bars(t), "close", by_symbol(), 10).select("symbol", "ts", F.round("slope", 6).alias("slope"), F.round("slope_r2", 6).alias("slope_r2"))
 
 
 @R.query(
@@ -277,7 +277,7 @@ def _(t):
     f"{_IDX}, x as (select symbol, ts, case when count(close) {_w} rows between 10 preceding and 1 preceding) = 10 then regr_slope(close, i) {_w} rows between 10 preceding and 1 preceding) end as slope, case when count(close) {_w} rows between 10 preceding and 1 preceding) = 10 then regr_r2(close, i) {_w} rows between 10 preceding and 1 preceding) end as r2 from i) select symbol, ts, round(slope, 6) as slope, round(exp(-2 * (1 - r2)), 6) as alpha from x",
 )
 def _(t):
-    x = rolling.with_slope(bars(t), "close", W, 10, past=True)
+    x = rolling.with_slope(bars(t), "close", by_symbol(), 10, past=True)
     return x.select("symbol", "ts", F.round("slope", 6).alias("slope"), F.round(F.exp(-2 * (1 - F.col("slope_r2"))), 6).alias("alpha"))
 
 
@@ -312,13 +312,13 @@ _beside = [k for k in range(-2, 3) if k]
     + f") then low end as d from bars) select symbol, ts, lag(u, 2) {_w}) as fractal_up, lag(d, 2) {_w}) as fractal_down from f",
 )
 def _(t):
-    return rolling.fractals(bars(t), W, 2).select("symbol", "ts", "fractal_up", "fractal_down")
+    return rolling.fractals(bars(t), by_symbol(), 2).select("symbol", "ts", "fractal_up", "fractal_down")
 
 
 @R.query("crossings", f"with {BARS}, m as (select symbol, ts, close, {_sql_full(5, f'avg(close) {_w} rows 4 preceding)')} as m from bars), x as (select *, lag(close) {_w}) as c1, lag(m) {_w}) as m1 from m) select symbol, ts, case when close > m then 1 else -1 end as side from x where (close > m and c1 <= m1) or (close < m and c1 >= m1)")
 def _(t):
-    x = bars(t).withColumn("m", rolling.sma(F.col("close"), W, 5))
-    up, dn = rolling.crossed_up(F.col("close"), F.col("m"), W), rolling.crossed_down(F.col("close"), F.col("m"), W)
+    x = bars(t).withColumn("m", rolling.sma(F.col("close"), by_symbol(), 5))
+    up, dn = rolling.crossed_up(F.col("close"), F.col("m"), by_symbol()), rolling.crossed_down(F.col("close"), F.col("m"), by_symbol())
     return x.withColumn("side", F.when(up, 1).when(dn, -1)).filter(F.col("side").isNotNull()).select("symbol", "ts", "side")
 
 
@@ -414,4 +414,4 @@ def _(t):
 
 @R.query("running_total", f"with {DAYS} select symbol, ts, round(sum(total) {_w} rows unbounded preceding), 6) as s from days")
 def _(t):
-    return days(t).select("symbol", "ts", F.round(F.sum("total").over(so_far(W)), 6).alias("s"))
+    return days(t).select("symbol", "ts", F.round(F.sum("total").over(so_far(by_symbol())), 6).alias("s"))
