@@ -85,10 +85,10 @@ _smooth(
 )
 @R.query(
     "mcginley",
-    _all("a as (select symbol, i, high + 100 as e from x where i = 1 union all select x.symbol, x.i, a.e + (x.high + 100 - a.e) / (8 * power((x.high + 100) / a.e, 4)) from a join x on x.symbol = a.symbol and x.i = a.i + 1)", "a.e", "left join a using (symbol, i)"),
+    _all("a as (select symbol, i, high + 1000 as e from x where i = 1 union all select x.symbol, x.i, a.e + (x.high + 1000 - a.e) / (8 * power((x.high + 1000) / a.e, 4)) from a join x on x.symbol = a.symbol and x.i = a.i + 1)", "a.e", "left join a using (symbol, i)"),
 )
 def _(t):
-    return S.smooth(bars(t).withColumn("level", F.col("high") + 100), "level", "mcginley", 8).withColumn("value", F.round("value", 6))
+    return S.smooth(bars(t).withColumn("level", F.col("high") + 1000), "level", "mcginley", 8).withColumn("value", F.round("value", 6))
 
 
 _smooth(
