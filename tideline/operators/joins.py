@@ -30,7 +30,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, c
     names = list(left.columns)
     value = F.struct(us(F.col(ts)).alias("t"), (F.lit(0) if seq is None else F.col(seq)).alias("s"), F.col(ts).alias("right_ts"), *[F.col(c).alias(f"r_{c}") for c in columns])
     r = right.filter(F.col(ts).isNotNull()).select(*keys, us(F.col(ts)).alias("_t"), value.alias("_r"))
-    lt = left.withColumn("_t", us(F.col(ts))).withColumn("_l", F.struct(*[left[c] for c in names]))
+    lt = left.select(*keys, us(F.col(ts)).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_l"))
     both = lt.select(*keys, "_t", F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), "_l", F.lit(True).alias("_is")).unionByName(r.withColumn("_is", F.lit(False)), allowMissingColumns=True)
     both = both.withColumn("_shard", F.floor(F.col("_t") / width))
     # equal times: the right row first if it may match, else the left one
@@ -49,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, c
     x = own.join(held, [*keys, "_shard"], "left").withColumn("_m", F.coalesce("_m", "_h"))
     if tolerance_us is not None:
         x = x.withColumn("_m", F.when(F.abs(F.col("_m.t") - F.col("_t")) <= tolerance_us, F.col("_m")))
-    return x.select(*[F.col(f"_l.{c}").alias(c) for c in names], *[F.col(f"_m.r_{c}").alias(c if c not in names else f"right_{c}") for c in columns], F.col("_m.right_ts").alias("right_ts"))
+    return x.select(*[F.col(f"_l.`{c}`").alias(c) for c in names], *[F.col(f"_m.r_{c}").alias(c if c not in names else f"right_{c}") for c in columns], F.col("_m.right_ts").alias("right_ts"))
 
 
 def forward_values(df: DataFrame, key: str, ts: str, value: str, period: str, back: bool = False) -> DataFrame:

@@ -36,6 +36,8 @@ class LearnedIndex:
 
     def __init__(self, keys: np.ndarray, error: int = ERROR, piece: int = PIECE):
         self.keys, self.error = keys, error
+        if not len(keys):
+            return
         starts = np.arange(0, len(keys), piece)
         while True:  # halve the pieces whose line misses a position by more than the error
             ends = np.append(starts[1:], len(keys))
@@ -44,7 +46,7 @@ class LearnedIndex:
             slope = (n - 1) / reach
             own = np.repeat(np.arange(len(starts)), n)
             miss = np.abs(starts[own] + slope[own] * (keys - x0[own]) - np.arange(len(keys)))
-            bad = np.maximum.reduceat(miss, starts) > error if len(keys) else np.zeros(0, bool)
+            bad = np.maximum.reduceat(miss, starts) > error
             if not bad.any():
                 break
             starts = np.union1d(starts, starts[bad] + n[bad] // 2)
@@ -171,7 +173,7 @@ def symbol_names(instruments: DataFrame) -> DataFrame:
 
 def found(fills: DataFrame, quotes: DataFrame, instruments: DataFrame) -> DataFrame:
     """``fill_id``, ``quote_id`` of the quote nearest in time to each fill."""
-    f = fills.withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(instruments)), F.col("_n") == F.col("_name"))
+    f = fills.select("fill_id", "instrument", "time").withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(instruments)), F.col("_n") == F.col("_name"))
     probes = f.select(F.col("_symbol").alias("entity"), us(F.col("time")).alias("t"), F.col("fill_id").alias("id"))
     candidates = quotes.select(F.col("symbol").alias("entity"), us(F.col("time")).alias("t"), F.col("quote_id").alias("id"))
     tolerance = instruments.select(F.col("symbol").alias("entity"), (F.col("tol_ms").cast("bigint") * 1000).alias("tol_us"))

@@ -54,7 +54,7 @@ _DAY, _HOUR = 86_400_000_000, 3_600_000_000
 def readings(quotes: DataFrame, fills: DataFrame, bars: DataFrame, instruments: DataFrame, feeds: DataFrame) -> DataFrame:
     """``tab`` (place in ``TABS``), ``symbol``, ``stretch``, ``t``, ``id``, ``x`` of all readings that aren't missing."""
     q = quotes.select(F.lit(0).alias("tab"), "symbol", us(F.col("time")).alias("t"), F.col("quote_id").alias("id"), F.col("ask").alias("x"), F.lit(_DAY).alias("w"))
-    f = fills.withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(instruments)), F.col("_n") == F.col("_name"))
+    f = fills.select("fill_id", "instrument", "time", "price").withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(instruments)), F.col("_n") == F.col("_name"))
     f = f.select(F.lit(1).alias("tab"), F.col("_symbol").alias("symbol"), us(F.col("time")).alias("t"), F.col("fill_id").alias("id"), F.col("price").alias("x"), F.lit(16 * _DAY).alias("w"))
     b = normalise_bars(bars.select("bar_id", "feed", "symbol", "date", "close"), feeds)
     b = b.select(F.lit(2).alias("tab"), "symbol", F.col("utc_us").alias("t"), F.col("bar_id").alias("id"), F.col("close").alias("x"), F.lit(4000 * _DAY).alias("w"))

@@ -151,23 +151,33 @@ def _feed_settings(feeds: DataFrame) -> DataFrame:
     return small(own)
 
 
+def _packed(df: DataFrame, key: str, feeds: DataFrame, *used: str) -> DataFrame:
+    """The used columns beside the whole row, so that no other column's name can clash."""
+    x = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col("feed").alias("_own"), *[F.col(c).alias(f"_in_{c}") for c in used])
+    return x.join(_feed_settings(feeds), F.col("_own") == F.col("_feed"), "left")
+
+
+def _unpacked(x: DataFrame, names: list[str]) -> DataFrame:
+    x = x.select("_row", "_key", F.col("_utc_us").alias("_out")).dropDuplicates(["_key"])
+    return x.select(*[F.col(f"_row.`{n}`").alias(n) for n in names if n != "utc_us"], F.col("_out").alias("utc_us"))
+
+
 def normalise_quotes(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     """``raw`` with ``utc_us``: one row per record (``rec_id``), repeats dropped.
 
     Null, empty and unusable times give a null ``utc_us``. Records of a feed that
     ``feeds`` doesn't have count as UTC and, for dates that begin with neither
-    year nor a month's name, as undetermined. Other columns pass unchanged.
+    year nor a month's name, as undetermined. Other columns pass unchanged; one
+    named ``utc_us`` is replaced. Records with a null id count as one.
     Repeats are dropped after the parsing: the exchange keeps a later filter on
     ``utc_us`` from being pushed into the cascade and evaluated many times over.
     """
-    x = raw.join(_feed_settings(feeds), F.col("feed") == F.col("_feed"), "left")
-    return with_instant(x, "utc_us", "time", "tz", "_zone", "_order").drop("_feed", "_zone", "_order").dropDuplicates(["rec_id"])
+    return _unpacked(with_instant(_packed(raw, "rec_id", feeds, "time", "tz"), "_utc_us", "_in_time", "_in_tz", "_zone", "_order"), raw.columns)
 
 
 def normalise_bars(bars: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``bars`` with ``utc_us`` (00:00 UTC of the date), one row per ``bar_id``."""
-    x = bars.join(_feed_settings(feeds), F.col("feed") == F.col("_feed"), "left")
-    return with_day(x, "utc_us", "date", "_order").drop("_feed", "_zone", "_order").dropDuplicates(["bar_id"])
+    """``bars`` with ``utc_us`` (00:00 UTC of the date), one row per ``bar_id``; else as above."""
+    return _unpacked(with_day(_packed(bars, "bar_id", feeds, "date"), "_utc_us", "_in_date", "_order"), bars.columns)
 
 
 def found(raw: DataFrame, bars: DataFrame, feeds: DataFrame) -> DataFrame:

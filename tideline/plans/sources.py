@@ -141,10 +141,10 @@ def _(t):
     return t.events.select("event_id", X.short_id(F.col("event_type"), F.col("user_id")).alias("id"))
 
 
-@R.query("weighted_mid", "select distinct quote_id, round(case when coalesce(bidvol, 0) + coalesce(askvol, 0) > 0 then (bid * coalesce(askvol, 0) + ask * coalesce(bidvol, 0)) / (coalesce(bidvol, 0) + coalesce(askvol, 0)) else (bid + ask) / 2 end, 9) as mid from quotes where bid is not null and ask is not null and not isnan(bid) and not isnan(ask) and isfinite(ask)")
+@R.query("weighted_mid", "select distinct quote_id, (case when coalesce(bidvol, 0) + coalesce(askvol, 0) > 0 then (bid * coalesce(askvol, 0) + ask * coalesce(bidvol, 0)) / (coalesce(bidvol, 0) + coalesce(askvol, 0)) else (bid + ask) / 2 end) as mid from quotes where bid is not null and ask is not null and not isnan(bid) and not isnan(ask) and isfinite(ask)")
 def _(t):
     from ..operators.resample import weighted_mid
 
     z = F.lit(0)
     q = t.quotes.filter("bid is not null and ask is not null and not isnan(bid) and not isnan(ask) and abs(ask) <> double('infinity')")
-    return q.select("quote_id", F.round(weighted_mid(F.col("bid"), F.col("ask"), F.coalesce("bidvol", z), F.coalesce("askvol", z)), 9).alias("mid")).distinct()
+    return q.select("quote_id", weighted_mid(F.col("bid"), F.col("ask"), F.coalesce("bidvol", z), F.coalesce("askvol", z)).alias("mid")).distinct()
