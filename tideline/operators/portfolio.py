@@ -56,20 +56,18 @@ def sharpe(r: Column, periods: int = DAILY, risk_free: float = 0.0) -> Column:
 
 
 def downside(r: Column, required: float = 0.0, periods: int = 252) -> Column:
-    r = F.coalesce(r, F.lit(0.0))
-    return F.sqrt(F.avg(F.pow(F.least(r - required, F.lit(0.0)), 2))) * math.sqrt(periods)
+    below = F.when(r.isNotNull(), F.least(r - required, F.lit(0.0)))
+    return F.sqrt(F.avg(F.pow(below, 2))) * math.sqrt(periods)
 
 
 def sortino(r: Column, periods: int = DAILY, required: float = 0.0) -> Column:
-    """Mean over the downside, which is per year of 252 periods whatever ``periods`` is; infinite without losses.
-
-    Nulls count as periods without return."""
-    d, m = downside(r, required), F.avg(F.coalesce(r, F.lit(0.0)) - required)
+    """Mean over the downside, which is per year of 252 periods whatever ``periods`` is; infinite without losses."""
+    d, m = downside(r, required), F.avg(r - required)
     return F.when(d > 0, periods * m / d).when(m > 0, float("inf"))
 
 
 def omega(r: Column, threshold: float = 0.0) -> Column:
-    gain, loss = F.sum(F.greatest(r - threshold, F.lit(0.0))), F.sum(F.greatest(threshold - r, F.lit(0.0)))
+    gain, loss = (F.sum(F.when(r.isNotNull(), F.greatest(d, F.lit(0.0)))) for d in (r - threshold, threshold - r))
     return F.when(loss > 0, gain / loss)
 
 
