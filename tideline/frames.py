@@ -46,6 +46,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``df`` with the columns of an aggregate over all rows, which has exactly one row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def us(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone (session zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))

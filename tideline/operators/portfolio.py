@@ -241,3 +241,33 @@ def stats(df: DataFrame, cash: float) -> DataFrame:
     )
     d = max_drawdown(df, "pnl").select("symbol", "mdd")
     return a.join(d, "symbol").join(max_drawdown_pct(df), "symbol").join(stability(df), "symbol").join(quality(df, "pnl"), "symbol").withColumn("calmar", F.when(F.col("mdd_pct") < 0, F.col("cagr") / F.abs("mdd_pct")))
+
+
+def growth(daily: DataFrame, cash: float | None = None) -> DataFrame:
+    """Returns on the equity of the day before and the growth index. ``daily``: symbol, ts, pnl and,
+    without a fixed ``cash``, flow (cash brought in)."""
+    w = by_symbol()
+    base = F.lit(cash) + F.sum("pnl").over(so_far(w)) if cash is not None else F.sum(F.col("pnl") + F.col("flow")).over(so_far(w))
+    x = daily.withColumn("_e", base)
+    x = x.withColumn("r", F.col("pnl") / F.nullif(F.lag("_e").over(w), F.lit(0.0))).filter("r is not null and r > -1")
+    return x.withColumn("growth", F.exp(F.sum(F.log1p("r")).over(so_far(w)))).drop("_e")
+
+
+def cash_flow(active: DataFrame, per_instrument: float) -> DataFrame:
+    """Cash brought in as instruments become active: ``ts``, ``flow`` from symbol, ts, price."""
+    n = active.groupBy("ts").agg(F.count("price").alias("_n"))
+    w = Window.partitionBy(F.lit(1)).orderBy("ts")
+    return n.withColumn("flow", per_instrument * (F.col("_n") - F.coalesce(F.lag("_n").over(w), F.lit(0)))).drop("_n")
+
+
+def merge_chunks(*chunks: DataFrame) -> DataFrame:
+    """One log of chunks with cumulative PnL that overlap: a later chunk counts from its first time on,
+    its PnL continuing what stood there."""
+    out = per_row(chunks[0], "pnl")
+    for c in chunks[1:]:
+        border = c.groupBy("symbol").agg(F.min("ts").alias("_b"))
+        d = per_row(c, "pnl").join(border, "symbol")
+        own = d.filter(F.col("ts") > F.col("_b")).drop("_b")
+        head = out.join(border, "symbol", "left").filter(F.col("_b").isNull() | (F.col("ts") <= F.col("_b"))).drop("_b")
+        out = head.unionByName(own)
+    return out

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import nan_to_null, require_columns
+from ..frames import nan_to_null, require_columns, with_totals
 
 
 def _bucket(ts: Column, freq: str, tz: str | None, origin: str) -> Column:
@@ -114,7 +114,7 @@ def walk_forward(df: DataFrame, train: int, test: int, ts: str = "ts") -> DataFr
     day = F.unix_date(F.col(ts).cast("date"))
     span = df.agg(F.min(day).alias("_a"), F.max(day).alias("_z"))
     # a row belongs to a bounded number of folds: its offset tells which
-    x = df.crossJoin(F.broadcast(span)).withColumn("_o", day - F.col("_a"))
+    x = with_totals(df, span).withColumn("_o", day - F.col("_a"))
     last = F.floor((F.col("_z") - F.col("_a") - train) / test)
     lo = F.greatest(F.ceil((F.col("_o") - train - test + 1) / test), F.lit(0))
     hi = F.least(F.floor(F.col("_o") / test), last)

@@ -128,3 +128,45 @@ def smoothed_cross(bars: DataFrame, n: int) -> DataFrame:
     """Where the close stands against its mean over n bars: 1 above, -1 below."""
     m = F.avg("close").over(trailing(by_symbol(), n))
     return bars.select("symbol", "ts", F.signum(F.col("close") - m).alias("target"))
+
+
+def level_breakout(df: DataFrame, resistances: tuple[str, ...], supports: tuple[str, ...]) -> DataFrame:
+    """1 where the close breaks above a resistance that the bar before lay under, -1 below a support."""
+    w = by_symbol()
+    o, c = F.lag("open").over(w), F.lag("close").over(w)
+    up, dn = F.lit(False), F.lit(False)
+    for n in resistances:
+        up = up | F.coalesce((o < F.col(n)) & (c < F.col(n)) & (F.col("close") > F.col(n)), F.lit(False))
+    for n in supports:
+        dn = dn | F.coalesce((o > F.col(n)) & (c > F.col(n)) & (F.col("close") < F.col(n)), F.lit(False))
+    return df.select("symbol", "ts", F.when(dn, -1.0).when(up, 1.0).alias("target")).filter("target is not null")
+
+
+def twice_inside(x, level, up: bool):
+    """Whether ``x`` passes a level after two rows on its other side."""
+    w = by_symbol()
+    a, b = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
+    return (a < level) & (b < level) & (x >= level) if up else (a > level) & (b > level) & (x <= level)
+
+
+def outstretched(bars: DataFrame, n: int, smooth: int, threshold: float = 0.05) -> DataFrame:
+    """Contrarian signals where the smoothed excess of rises over falls nears its bounds."""
+    from .smoothers import per_symbol, smoothed
+
+    w = by_symbol()
+    past = F.lag("close", n).over(w)
+    x = bars.withColumn("_e", F.coalesce((F.col("close") > past).cast("double"), F.lit(0.0)) - F.coalesce((F.col("close") < past).cast("double"), F.lit(0.0)))
+    x = x.withColumn("_s", F.when(F.count("_e").over(trailing(w, n)) == n, F.sum("_e").over(trailing(w, n))))
+    y = per_symbol(x, lambda p: {"_o": smoothed(p["_s"], "ema", smooth)}, "_o double")
+    k = n * (1 - threshold)
+    t = F.when(twice_inside(F.col("_o"), F.lit(-k), up=False), 1.0).when(twice_inside(F.col("_o"), F.lit(k), up=True), -1.0)
+    return y.select("symbol", "ts", t.alias("target")).filter("target is not null")
+
+
+def equilibrium(bars: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Mean-reverting signals where the smoothed distance to the mean passes a threshold."""
+    from .smoothers import per_symbol, smoothed
+
+    y = per_symbol(bars, lambda p: {"_o": smoothed(smoothed(p.close, "sma", n) - p.close.to_numpy(), "ema", n)}, "_o double")
+    t = F.when(twice_inside(F.col("_o"), F.lit(threshold), up=True), -1.0).when(twice_inside(F.col("_o"), F.lit(-threshold), up=False), 1.0)
+    return y.select("symbol", "ts", t.alias("target")).filter("target is not null")

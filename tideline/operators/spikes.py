@@ -289,7 +289,8 @@ def implausible(r: DataFrame) -> DataFrame:
     bad = r.filter(~good).select("tab", F.col("id").alias("rec_id"), F.lit("value").alias("flag")).distinct()
     part = r.filter(good).select("tab", "symbol", "stretch", "t", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
     together = lambda df, *order: df.repartition(*_KEY, "stretch").sortWithinPartitions(*_KEY, "stretch", *order, "t", "id")
-    s = written(together(part).mapInArrow(_survey, _SURVEY))
+    # one partitioning by source, which all the windows and joins of the limits keep to
+    s = written(together(part).mapInArrow(_survey, _SURVEY)).repartition(*_KEY)
     data = part.select("tab", "symbol", "stretch", F.lit(2).alias("kind"), "t", "id", "x", F.lit(0).cast("bigint").alias("e"))
     flagged = together(data.unionByName(_context(s)), "kind").mapInArrow(_flags, "tab int, rec_id bigint, flag string")
     return bad.unionByName(flagged).withColumn("tab", F.element_at(F.array(*map(F.lit, TABS)), F.col("tab") + 1))

@@ -292,3 +292,51 @@ def rolling_weights(returns: DataFrame, train: int, test: int, allocate: Callabl
         return pd.DataFrame({"fold": pdf.fold.iloc[0], "symbol": list(symbols), "weight": w})
 
     return folds.select("fold", "symbol", "ts", "r").groupBy("fold").applyInPandas(fit, "fold int, symbol string, weight double")
+
+
+def scaled_slope(values: np.ndarray, n: int, method: str = "ols", scale: str | None = "steps", bins: int = 5) -> np.ndarray:
+    """Slope over each window of n rows: of the window scaled to -1..1 (``ols``), or as an angle
+    of the change per row. ``steps`` puts it on half steps from -bins to bins, ``bins`` into bins."""
+    x = np.asarray(values, dtype=float)
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        v = np.lib.stride_tricks.sliding_window_view(x, n)
+        if method == "ols":
+            lo, hi = v.min(axis=1, keepdims=True), v.max(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                y = 2 * (v - lo) / (hi - lo) - 1
+            line = np.linspace(-1, 1, n)
+            out[n - 1 :], top = y @ line / (line @ line), 1.0
+        else:
+            out[n - 1 :], top = np.degrees(np.arctan((v[:, -1] - v[:, 0]) / n)), 90.0
+        if scale == "steps":
+            out = np.round(np.clip(out / top, -1, 1) * 2 * bins) / 2
+        elif scale == "bins":
+            k = (bins - 1) * 4
+            out = (np.floor(k * (out + top) / (2 * top)) - k // 2) / 2
+    return out
+
+
+def locked_trend(values: np.ndarray, order: int, n: int, ahead: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """How far each value lies from the polynomial of the n rows that end 1 to ``ahead`` rows before it
+    (one column each), and the r2 of the window that ends at the row."""
+    x = np.asarray(values, dtype=float)
+    rest, r2 = np.full((len(x), ahead), np.nan), np.full(len(x), np.nan)
+    m = n + ahead
+    if len(x) >= m:
+        v = np.lib.stride_tricks.sliding_window_view(x, m)
+        design = np.vander(np.linspace(-1, 1, m), order + 1)
+        beta = v[:, :n] @ np.linalg.pinv(design[:n]).T
+        fitted = beta @ design.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            total = ((v[:, :n] - v[:, :n].mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+            r2[n - 1 : len(x) - ahead] = 1 - ((v[:, :n] - fitted[:, :n]) ** 2).sum(axis=1) / total
+        for k in range(ahead):
+            rest[n + k : len(x) - ahead + k + 1, k] = v[:, n + k] - fitted[:, n + k]
+    return rest, r2
+
+
+def space_time_distance(a: Sequence[float], b: Sequence[float], window: int) -> float:
+    """Distance of the first two elements and of the warped rest."""
+    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+    return math.sqrt(math.dist(a[:2], b[:2]) + warp_distance(a[2:], b[2:], window))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..frames import by_symbol
+from ..frames import by_symbol, with_totals
 from ..operators import portfolio as P
 from ..operators import signals as G
 from ..operators import stats as T
@@ -407,4 +407,4 @@ def _(t):
 def _(t):
     d = P.with_drawdown(_equity(t), "pnl").groupBy("symbol").agg(F.max("dd").alias("dd"))
     tot = d.agg(F.sum("dd").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    return d.crossJoin(F.broadcast(tot)).select("symbol", F.round((F.col("_t") - F.col("dd")) / ((F.col("_n") - 1) * F.col("_t")), 9).alias("weight"))
+    return with_totals(d, tot).select("symbol", F.round((F.col("_t") - F.col("dd")) / ((F.col("_n") - 1) * F.col("_t")), 9).alias("weight"))

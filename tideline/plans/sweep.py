@@ -62,3 +62,23 @@ def varying(parameters: DataFrame) -> DataFrame:
 def blend(equities: DataFrame, weights: DataFrame) -> DataFrame:
     """The weighted sum of the models' PnL at each time."""
     return equities.join(F.broadcast(weights), "run").groupBy("ts").agg(F.sum(F.col("pnl") * F.col("weight")).alias("pnl"))
+
+
+def search(parameters: list[dict[str, Any]], build, score, folds: DataFrame) -> DataFrame:
+    """``run``, ``fold``, ``part``, ``score`` of each parameter set on each fold, as one plan.
+
+    ``build(p)`` gives signals, ``folds`` symbol, ts, fold and part; ``score(signals)``
+    gives figures grouped by the columns run, fold, part that the signals carry.
+    """
+    every = None
+    for p in parameters:
+        s = build(p).withColumn("run", F.lit(run_id(p)))
+        every = s if every is None else every.unionByName(s)
+    return score(every.join(folds.select("symbol", "ts", "fold", "part"), ["symbol", "ts"]))
+
+
+def walk_forward_choice(scores: DataFrame) -> DataFrame:
+    """For each fold the run that scored best in training, with its score out of sample."""
+    w = Window.partitionBy("fold").orderBy(F.col("train").desc_nulls_last(), "run")
+    wide = scores.groupBy("run", "fold").agg(F.max(F.when(F.col("part") == "train", F.col("score"))).alias("train"), F.max(F.when(F.col("part") == "test", F.col("score"))).alias("test"))
+    return wide.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
