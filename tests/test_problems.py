@@ -178,7 +178,8 @@ def brute_flags(x):
             for p in range(4):
                 for q in range(4 - p):
                     a, b = i - p - 1, i + q + 1
-                    if a >= 0 and b < n and abs(log[a] - log[b]) < 2 * reach and all(min(abs(log[j] - log[a]), abs(log[j] - log[b])) >= 2 * reach for j in range(a + 1, b)):
+                    off = min(min(abs(log[j] - log[a]), abs(log[j] - log[b])) for j in range(a + 1, b)) if a >= 0 and b < n else 0
+                    if off >= 2 * reach and abs(log[a] - log[b]) < spikes.BACK * off:
                         if abs(log[i] - np.median(np.r_[log[max(0, i - 4) : i], log[i + 1 : i + 5]])) >= reach:
                             out.add((i, "jump"))
     edges = np.flatnonzero(np.r_[True, np.diff(x) != 0, True])

@@ -39,6 +39,8 @@ LONGEST = 4
 FENCE = 3.0
 #: How many times as far as regular moves go a reading must stand off.
 FACTOR = 2.0
+#: The series has come back if the readings on both sides differ by less than this part of the excursion.
+BACK = 0.5
 #: A run is stuck from so many times the 90th percentile of the source's runs on, and from so many readings.
 RUN_FACTOR, RUN_LEAST = 3.0, 8
 #: Relative error of the sketches, and the moves from which an hour's own sketch widens the fence.
@@ -221,10 +223,8 @@ def _jumps(own: np.ndarray, log: np.ndarray, reach: np.ndarray) -> np.ndarray:
         for p in range(k):
             for q in range(k - p):
                 lo, hi = v[-p - 1], v[q + 1]
-                ok = np.abs(lo - hi) < far
-                for j in range(-p, q + 1):
-                    ok &= (np.abs(v[j] - lo) >= far) & (np.abs(v[j] - hi) >= far)
-                hit |= ok
+                off = np.min([np.minimum(np.abs(v[j] - lo), np.abs(v[j] - hi)) for j in range(-p, q + 1)], axis=0)
+                hit |= (off >= far) & (np.abs(lo - hi) < BACK * off)
     # between two spikes a regular reading also stands off; the middle of its surroundings tells
     at, far = at[hit], far[hit]
     around = np.stack([v[j][hit] for j in v if j])
