@@ -65,6 +65,15 @@ def with_slope(df: DataFrame, x: str, w, n: int, past: bool = False, out: str =
     return i.withColumns({out: F.when(ok, F.regr_slope(x, "_i").over(frame)), f"{out}_r2": F.when(ok, F.regr_r2(x, "_i").over(frame))}).drop("_i")
 
 
+def correlation(x: Column, y: Column, w, n: int) -> Column:
+    """Correlation of the frame, from its moments; null where either side is constant."""
+    f = trailing(w, n)
+    both = F.when(x.isNotNull() & y.isNotNull(), 1)
+    a, b = F.when(both == 1, x), F.when(both == 1, y)
+    value = F.covar_pop(a, b).over(f) / F.nullif(F.stddev_pop(a).over(f) * F.stddev_pop(b).over(f), F.lit(0.0))
+    return F.when(F.count(both).over(f) == n, value)
+
+
 def true_range(w) -> Column:
     prev = F.lag("close").over(w)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))

@@ -102,7 +102,7 @@ def _(t):
     return P.growth(x, 5000.0).select("symbol", "ts", F.round("growth", 6).alias("growth"))
 
 
-@R.query("cash_flow", f"with {BARS}, n as (select ts, count(close) as n from bars where volume > 2 group by 1) select ts, 100.0 * (n - coalesce(lag(n) over (order by ts), 0)) as flow from n")
+@R.query("cash_flow", f"with {BARS}, n as (select ts, count(close) as n from bars where volume > 2 group by 1) select ts, 100.0::double * (n - coalesce(lag(n) over (order by ts), 0)) as flow from n")
 def _(t):
     return P.cash_flow(bars(t).filter("volume > 2").select("symbol", "ts", F.col("close").alias("price")), 100.0)
 

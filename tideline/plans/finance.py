@@ -134,7 +134,7 @@ def _(t):
     return _q(P.per_row(_equity(t), "pnl"), "symbol", "ts", ("pnl", 6))
 
 
-@R.query("total_pnl", f"with {_EQ} select ts, round(sum(pnl), 6) as pnl, round(sum(0.5), 6) as commissions from eq group by 1")
+@R.query("total_pnl", f"with {_EQ} select ts, round(sum(pnl), 6) as pnl, round(sum(0.5::double), 6) as commissions from eq group by 1")
 def _(t):
     return _q(P.totals(_equity(t).withColumn("commissions", F.lit(0.5))), "ts", ("pnl", 6), ("commissions", 6))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frames import by_symbol, full, so_far, trailing
+from ..frames import by_symbol, small, so_far, trailing
 from ..operators import joins, resample, rolling
 from .base import BARS, DAYS, RETURNS, bars, days, returns
 from .registry import Registry
@@ -130,7 +130,7 @@ q as (select distinct symbol, time, quote_id, case when isnan(bid) then null els
 def _(t):
     from ..operators.nearest import plain, symbol_names
 
-    f = t.fills.withColumn("_n", plain(F.col("instrument"))).join(F.broadcast(symbol_names(t.instruments)), F.col("_n") == F.col("_name")).select("fill_id", F.col("_symbol").alias("symbol"), "time").distinct()
+    f = t.fills.withColumn("_n", plain(F.col("instrument"))).join(small(symbol_names(t.instruments)), F.col("_n") == F.col("_name")).select("fill_id", F.col("_symbol").alias("symbol"), "time").distinct()
     q = t.quotes.select("symbol", "time", "quote_id", F.nanvl("bid", F.lit(None).cast("double")).alias("bid")).distinct()
     return joins.asof_join(f, q, ["symbol"], "time", ["quote_id", "bid"], strict=True, seq="quote_id").select("fill_id", "quote_id", "bid")
 
@@ -246,7 +246,7 @@ _frame(
     f"case when row_number() {_w}) >= 14 and max(high) {_w} rows 13 preceding) > min(low) {_w} rows 13 preceding) then 100 * (close - min(low) {_w} rows 13 preceding)) / (max(high) {_w} rows 13 preceding) - min(low) {_w} rows 13 preceding)) end as k",
     k=lambda: rolling.stochastic(by_symbol(), 14),
 )
-_frame("rolling_corr", f"case when count(close) {_w} rows 11 preceding) = 12 then corr(close, volume) {_w} rows 11 preceding) end as r", r=lambda: full(c("close"), by_symbol(), 12, F.corr("close", "volume").over(trailing(by_symbol(), 12))))
+_frame("rolling_corr", f"case when count(close) {_w} rows 11 preceding) = 12 then covar_pop(close, volume) {_w} rows 11 preceding) / nullif(stddev_pop(close) {_w} rows 11 preceding) * stddev_pop(volume) {_w} rows 11 preceding), 0) end as r", r=lambda: rolling.correlation(c("close"), c("volume"), by_symbol(), 12))
 _frame("percent_rank", f"case when row_number() {_w}) >= 20 then len(list_filter(list(close) {_w} rows between 19 preceding and 1 preceding), lambda v: v < close)) * 100.0 / 20 end as p", p=lambda: rolling.percent_rank(c("close"), by_symbol(), 20))
 
 
@@ -379,7 +379,7 @@ def _(t):
 
 @R.query("report_rollup", "select coalesce(r_name, 'Total') as region, coalesce(n_name, 'Total') as nation, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
 def _(t):
-    x = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    x = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     x = x.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
     return x.select(F.coalesce("r_name", F.lit("Total")).alias("region"), F.coalesce("n_name", F.lit("Total")).alias("nation"), "customers", "balance")
 
@@ -393,7 +393,7 @@ def _(t):
 @R.query("revenue_by_nation", "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1")
 def _(t):
     x = t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return x.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return x.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
 @R.query("json_props", "select (props->>'k')::int as k, count(*) as n, round(avg(value), 6) as mean from events group by 1")

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import small
+
 
 def grid(parameters: dict[str, Any], condition: str | None = None) -> list[dict[str, Any]]:
     """All combinations of the listed values that meet a condition.
@@ -61,7 +63,7 @@ def varying(parameters: DataFrame) -> DataFrame:
 
 def blend(equities: DataFrame, weights: DataFrame) -> DataFrame:
     """The weighted sum of the models' PnL at each time."""
-    return equities.join(F.broadcast(weights), "run").groupBy("ts").agg(F.sum(F.col("pnl") * F.col("weight")).alias("pnl"))
+    return equities.join(small(weights), "run").groupBy("ts").agg(F.sum(F.col("pnl") * F.col("weight")).alias("pnl"))
 
 
 def search(parameters: list[dict[str, Any]], build, score, folds: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..frames import by_symbol, trailing
 from ..operators import indicators as I
-from ..operators import segments
+from ..operators import rolling, segments
 from ..operators import smoothers as S
 from .base import BARS, bars
 from .registry import Registry
@@ -222,7 +222,7 @@ _windowed(
     lambda b: I.with_denoised_trend(b, 12),
 )
 _CHOP = f"{_TR}, a as (select *, {_full('tr', 14, f'avg(tr) {_w} rows 13 preceding)')} as a from tr), c as (select *, case when count(a) {_w} rows 13 preceding) = 14 then 100 * ln(sum(a) {_w} rows 13 preceding) / nullif(max(high) {_w} rows 13 preceding) - min(low) {_w} rows 13 preceding), 0)) / ln(14) end as c from a), z as (select *, case when c >= 61.8 then 1 when c <= 38.2 then 0 end as s from c)"
-_windowed("choppiness", _CHOP, {"choppy": f"coalesce(last_value(s ignore nulls) {_w} rows unbounded preceding), 0)"}, lambda b: I.with_choppiness(b, 14).withColumn("choppy", F.col("choppy").cast("int")))
+_windowed("choppiness", _CHOP, {"choppy": f"coalesce(last_value(s ignore nulls) {_w} rows unbounded preceding), 0)::double"}, lambda b: I.with_choppiness(b, 14).withColumn("choppy", F.col("choppy").cast("int")))
 _windowed(
     "rolling_atr",
     f"{_TR}, z as (select *, max(high) over r - min(low) over r as a from tr window r as (partition by symbol order by ts range between interval 6 hour preceding and current row))",
@@ -346,10 +346,10 @@ def _(t):
     return segments.triple_barrier(e, b.select("symbol", "ts", F.col("close").alias("price")), 0.5, 0.4, "12 hours")
 
 
-@R.query("autocorrelation_filter", f"with recursive {BARS}, r as (select symbol, ts, close - lag(close) {_w}) as r from bars), l as (select *, lag(r) {_w}) as r1 from r), c as (select symbol, ts, case when count(r1) {_w} rows 19 preceding) = 20 then corr(r, r1) {_w} rows 19 preceding) end as c from l) select symbol, ts, round(lag(c) {_w}), 6) as value from c")
+@R.query("autocorrelation_filter", f"with recursive {BARS}, r as (select symbol, ts, close - lag(close) {_w}) as r from bars), l as (select *, lag(r) {_w}) as r1 from r), c as (select symbol, ts, case when count(r1) {_w} rows 19 preceding) = 20 then covar_pop(r, r1) {_w} rows 19 preceding) / nullif(stddev_pop(r) {_w} rows 19 preceding) * stddev_pop(r1) {_w} rows 19 preceding), 0) end as c from l) select symbol, ts, round(lag(c) {_w}), 6) as value from c")
 def _(t):
     x = bars(t).withColumn("r", F.col("close") - F.lag("close").over(by_symbol())).withColumn("r1", F.lag("r").over(by_symbol()))
-    x = x.withColumn("c", F.when(F.count("r1").over(trailing(by_symbol(), 20)) == 20, F.corr("r", "r1").over(trailing(by_symbol(), 20))))
+    x = x.withColumn("c", rolling.correlation(F.col("r"), F.col("r1"), by_symbol(), 20))
     return x.select("symbol", "ts", F.round(F.lag("c").over(by_symbol()), 6).alias("value"))
 
 
