@@ -27,8 +27,8 @@ def regular_grid(quotes: DataFrame, grid: DataFrame, hold_us: int = DAY_US) -> D
     null where nothing holds), coverage (0 to 1), state (``observed``,
     ``filled`` from an earlier reading, ``empty``).
 
-    A reading is usable with bid and ask neither null nor NaN. It holds for at
-    most ``hold_us``. Repeated rows count once, rows without time or with a
+    A reading is usable with bid and ask neither null nor NaN; an infinite price
+    counts as present but adds nothing to the average. A reading holds for at most ``hold_us``. Repeated rows count once, rows without time or with a
     symbol that ``grid`` lacks or gives no positive length are left out. Of
     readings with equal times the one with the largest quote_id holds on.
     """
@@ -55,7 +55,7 @@ def regular_grid(quotes: DataFrame, grid: DataFrame, hold_us: int = DAY_US) -> D
     held = (F.least("end", begin + F.col("_len"), base + DAY_US) - F.greatest("t", begin)).cast("double")
     inside = F.col("real").isNotNull() & (F.col("cell") == cell(F.col("t")))
     cells = pieces.withColumns({"w": held, "in": inside.cast("bigint")}).groupBy("symbol", "day", "_len", "cell").agg(
-        F.sum("in").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("bid")).alias("wb"), F.sum(F.col("w") * F.col("ask")).alias("wa")
+        F.sum("in").alias("n"), F.sum("w").alias("w"), *[f(c) for c in ("bid", "ask") for f in (lambda c: F.sum(F.col("w") * F.col(c)).alias(f"sum_{c}"), lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w"))).alias(f"w_{c}"))]
     )
     wanted = days.select("symbol", "day", "_len", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
     out = wanted.join(cells, ["symbol", "day", "_len", "cell"], "left")
@@ -65,8 +65,7 @@ def regular_grid(quotes: DataFrame, grid: DataFrame, hold_us: int = DAY_US) -> D
         "symbol",
         begin.alias("period_us"),
         n.alias("n_rows"),
-        F.when(some, F.col("wb") / F.col("w")).alias("bid_twa"),
-        F.when(some, F.col("wa") / F.col("w")).alias("ask_twa"),
+        *[F.when(F.col(f"w_{c}") > 0, F.col(f"sum_{c}") / F.col(f"w_{c}")).alias(f"{c}_twa") for c in ("bid", "ask")],
         F.coalesce(F.col("w") / size, F.lit(0.0)).alias("coverage"),
         F.when(n > 0, "observed").when(some, "filled").otherwise("empty").alias("state"),
     )
