@@ -18,7 +18,24 @@ y as (select run, strftime(d, '%Y-%m-%d') as day, cast(sum(c) over (partition by
 """
 
 
-@R.query("p1_found")
+_P1 = r"""with f as (select feed, max(zone) as zone, max(day_order) as o from feeds group by 1),
+ab as (select * from (values ('Z', 0), ('UTC', 0), ('GMT', 0), ('BST', 60), ('CET', 60), ('CEST', 120), ('EET', 120), ('EEST', 180), ('EST', -300), ('EDT', -240), ('CST', -360), ('CDT', -300), ('JST', 540), ('IST', 330)) as v(abbr, east)),
+r as (select distinct rec_id, feed, time, tz from raw_quotes where time is not null),
+c as (select rec_id, regexp_replace(regexp_replace(time, '^[\s"]+', ''), '[\s"]+$', '') as s, coalesce(tz, zone, 'UTC') as z, o from r left join f using (feed)),
+k as (select *, regexp_extract(s, '\d(?:\.\d+)?\s*([A-Z]{1,4})$', 1) as word, regexp_extract(s, '\d{2}:?\d{2}(?:\.\d+)?\s*([+-]\d{2}:?\d{2})$', 1) as off from c),
+m as (select *, case when word in ('AM', 'PM') then '' else word end as w from k),
+b as (select m.*, case when off <> '' then (case when off[1] = '-' then -1 else 1 end) * (off[2:3]::int * 60 + off[-2:]::int) else ab.east end as east, regexp_replace(regexp_replace(regexp_replace(
+ case when off <> '' then rtrim(s[:-length(off) - 1]) when w <> '' then rtrim(s[:-length(w) - 1]) else s end, '^(\d{4}\.\d\d\.\d\d)D', '\1 '), '(:\d\d),(\d+)$', '\1.\2'), '(\.\d{6})\d+$', '\1') as t from m left join ab on m.w = ab.abbr),
+l as (select *, case when not regexp_full_match(s, '\d+') then coalesce(try_strptime(t, ['%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%Y.%m.%d %H:%M:%S.%f', '%Y.%m.%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%Y%m%d-%H:%M:%S.%f', '%Y%m%dT%H%M%S.%f', '%d-%b-%y %H:%M:%S', '%a, %d %b %Y %H:%M:%S']),
+ case when o = 'mdy' then try_strptime(t, ['%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %H:%M:%S']) when o = 'dmy' then try_strptime(t, '%d/%m/%Y %H:%M:%S') end) end as lt from b where w = '' or east is not null),
+u as (select rec_id, s, case when regexp_full_match(s, '\d+') then case length(s) when 10 then s::bigint * 1000000 when 13 then s::bigint * 1000 when 16 then s::bigint when 19 then s::bigint // 1000 end
+ when east is not null then epoch_us(lt) - east * 60000000::bigint else (select case when timezone(z, make_timestamptz(x - 3600000000)) = lt then x - 3600000000 when timezone(z, make_timestamptz(x)) = lt then x end from (select epoch_us(timezone(z, lt)) as x)) end as v from l),
+d as (select distinct bar_id, feed, date from daily_bars where date is not null), e as (select bar_id, regexp_replace(regexp_replace(date, '^[\s"]+', ''), '[\s"]+$', '') as s, o from d left join f using (feed)),
+g as (select bar_id, coalesce(try_strptime(s, ['%Y-%m-%d', '%Y%m%d', '%Y-%m-%dT%H:%M:%S', '%d %b %Y', '%Y.%m.%d', '%b %d, %Y', '%d-%b-%y', '%Y/%m/%d']), case when o = 'mdy' then try_strptime(s, '%m/%d/%Y') when o = 'dmy' then try_strptime(s, '%d/%m/%Y') end) as v from e)
+select 'raw_quotes' as tab, rec_id, v as utc_us from u where v is not null union all select 'daily_bars', bar_id, epoch_us(v) from g where v is not null"""
+
+
+@R.query("p1_found", _P1)
 def _p1(t):
     return timestamps.found(t.raw_quotes, t.daily_bars, t.feeds)
 
