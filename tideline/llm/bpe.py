@@ -31,8 +31,10 @@ FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Pre-tokens that a worker remembers, and the longest one that it remembers.
 MEMORY, LONGEST = 400_000, 64
-#: Characters encoded before a batch of rows is handed on.
-BATCH_CHARS = 4_000_000
+#: Characters worked on before a batch of rows is handed on.
+BATCH_CHARS = 1_000_000
+#: Rows and bytes of the batches that Spark hands to a worker, where the session has larger ones.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 #: Fixed value: how the vocabulary splits a text before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -163,6 +165,16 @@ def encoder(name: str = VOCABULARY, folder: str = FOLDER) -> Encoder:
     return _ENCODERS[path]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the size of the batches of texts that go to the workers."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut by the length of the texts, so that neither many nor long texts fill the memory."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
@@ -206,11 +218,11 @@ def encode_corpus(docs: DataFrame, ident: str = "doc_id", text: str = "text", na
     Repeated rows give repeated rows, a null ``ident`` stays null.
     """
     x = docs.selectExpr(f"cast(`{ident}` as bigint) as id", f"cast(`{text}` as string) as text")
-    return x.mapInArrow(lambda b: _encode(b, name, folder), "id bigint, ids array<int>").withColumnRenamed("id", ident)
+    return small_batches(x).mapInArrow(lambda b: _encode(b, name, folder), "id bigint, ids array<int>").withColumnRenamed("id", ident)
 
 
 def count_tokens(docs: DataFrame, *keep: str, text: str = "text", name: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, one row per row of ``docs``, without a shuffle."""
     x = docs.select(*keep, docs[text].cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "text")
-    return x.mapInArrow(lambda b: _count(b, name, folder), f"{schema}, n_tokens bigint")
+    return small_batches(x).mapInArrow(lambda b: _count(b, name, folder), f"{schema}, n_tokens bigint")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import FOLDER, _slices
+from .bpe import FOLDER, _slices, small_batches
 from .prose import GAP, prose
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
@@ -168,11 +168,9 @@ def paragraphs(model: Unigrams, texts: list[str | None]) -> tuple[np.ndarray, ..
             tokens = _TOKEN.findall(t.lower())
         tokens.append(GAP)
         many.append(tokens)
-    flat, ids = [], model.numbers([w for tokens in many for w in tokens])
-    for tokens in many:
-        flat.append(ids[: len(tokens)])
-        ids = ids[len(tokens) :]
-    return _score(model, flat, first)
+    ids, sizes = model.numbers([w for tokens in many for w in tokens]), np.cumsum([len(tokens) for tokens in many])
+    many.clear()
+    return _score(model, np.split(ids, sizes[:-1]) if len(sizes) else [], first)
 
 
 def _score(model: Unigrams, flat: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -235,13 +233,13 @@ def label_documents(docs: DataFrame, samples: DataFrame, folder: str = FOLDER) -
     """
     model = fit(samples, folder)
     x = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    return x.mapInArrow(lambda b: _label(b, model), _SCHEMA).withColumnRenamed("id", "doc_id")
+    return small_batches(x).mapInArrow(lambda b: _label(b, model), _SCHEMA).withColumnRenamed("id", "doc_id")
 
 
 def found(docs: DataFrame, samples: DataFrame, folder: str = FOLDER) -> DataFrame:
     """``doc_id``, ``segment``, ``lang``: wrong or missing labels, and passages in another language."""
     model = fit(samples, folder)
     x = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), named(F.col("lang")).alias("named")).alias("id"), F.col("text").cast("string").alias("text"))
-    out = x.mapInArrow(lambda b: _label(b, model), _SCHEMA.replace("id bigint", "id struct<doc_id:bigint,named:string>"))
+    out = small_batches(x).mapInArrow(lambda b: _label(b, model), _SCHEMA.replace("id bigint", "id struct<doc_id:bigint,named:string>"))
     wrong = (F.col("segment") > 0) | ~F.col("id.named").eqNullSafe(F.col("lang"))
     return out.filter(wrong).select(F.col("id.doc_id").alias("doc_id"), "segment", "lang")
