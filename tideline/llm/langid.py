@@ -11,7 +11,6 @@ Words repeat, so a worker keeps the eight scores of those it has met.
 
 from __future__ import annotations
 
-import math
 import os
 import re
 from collections import Counter
