@@ -145,7 +145,7 @@ _EX = "ex as (select event_type as symbol, ts, event_id as seq, (user_id % 5 - 2
 
 
 def _executions(t):
-    x = t.events.filter("user_id % 7 = 0 and user_id % 5 <> 2")
+    x = t.events.filter("user_id % 5 <> 2")
     return x.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), (F.col("user_id") % 5 - 2).cast("double").alias("quantity"), F.col("value").alias("price"), (F.col("user_id") % 2 == 0).alias("crossed"), (F.col("event_type") == "view").alias("is_futures"))
 
 
