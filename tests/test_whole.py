@@ -174,3 +174,22 @@ def test_inverse_contracts_of_all_users(spark, rows, folder):
     for s, own in ex.items():
         q = sum(e["q"] for e in own)
         assert got[s]["q"] == q and got[s]["pnl"] == pytest.approx(sum(e["q"] / e["price"] for e in own) - q / last[s], abs=1e-5)
+
+
+# portfolios of all users -------------------------------------------------------------------------------------------
+
+
+def test_portfolios_of_all_users(spark, rows, folder):
+    parts = defaultdict(list)
+    for _, ts, u, s, v in rows:
+        parts[s, ts.replace(hour=0, minute=0, second=0), u % 7].append(v)
+    want = defaultdict(lambda: [0.0, 0.0, []])
+    for (s, ts, _), v in parts.items():
+        w = want[s, ts]
+        w[0] += len(v)
+        w[1] += sum(v)
+        w[2].append(max(v))
+    got = {(r["symbol"], r["ts"]): r for r in run(spark, folder, "combine_portfolios")}
+    assert set(got) == set(want) and sum(r["pos"] for r in got.values()) == len(rows)
+    for k, (pos, pnl, prices) in want.items():
+        assert [got[k][c] for c in ("pos", "pnl", "price", "value", "commissions")] == pytest.approx([pos, pnl, statistics.mean(prices), pnl, pos * 0.1], abs=1e-5)

@@ -204,13 +204,13 @@ _PF = """p as (select user_id % 7 as u, event_type as symbol, date_trunc('day',
 
 
 def _portfolio(t, k):
-    x = t.events.filter(f"user_id % 7 = {k}").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+    x = t.events.filter(f"pmod(user_id, 7) = {k}").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
     return x.agg(F.count(F.lit(1)).cast("double").alias("pos"), F.sum("value").alias("pnl"), F.max("value").alias("price"), F.sum("value").alias("value"), (F.count(F.lit(1)) * 0.1).alias("commissions"))
 
 
 @R.query("combine_portfolios", f"with {_PF} select symbol, ts, sum(pos) as pos, round(sum(pnl), 6) as pnl, round(avg(price), 6) as price, round(sum(pnl), 6) as value, round(sum(pos * 0.1), 6) as commissions from p where u in (1, 2, 3) group by 1, 2")
 def _(t):
-    x = joins.combine_portfolios(*[_portfolio(t, k) for k in (1, 2, 3)])
+    x = joins.combine_portfolios(*[_portfolio(t, k) for k in range(7)])
     return x.select("symbol", "ts", "pos", *[F.round(c, 6).alias(c) for c in ("pnl", "price", "value", "commissions")])
 
 
