@@ -193,3 +193,31 @@ def test_portfolios_of_all_users(spark, rows, folder):
     assert set(got) == set(want) and sum(r["pos"] for r in got.values()) == len(rows)
     for k, (pos, pnl, prices) in want.items():
         assert [got[k][c] for c in ("pos", "pnl", "price", "value", "commissions")] == pytest.approx([pos, pnl, statistics.mean(prices), pnl, pos * 0.1], abs=1e-5)
+
+
+# whole series ------------------------------------------------------------------------------------------------------
+
+
+def looped_forecast(x, dim, keep, steps):
+    """Ahead by the lag covariance: the last value is that of the last window's projection."""
+    x = list(x)
+    for _ in range(steps):
+        x.append(x[-1])
+        for _ in range(1000):
+            windows = np.array([x[k : k + dim] for k in range(len(x) - dim + 1)])
+            _, v = np.linalg.eigh(windows.T @ windows)
+            v = v[:, ::-1][:, keep]
+            before, x[-1] = x[-1], float((v @ (v.T @ windows[-1]))[-1])
+            if abs(x[-1] - before) < 1e-8 * max(1.0, abs(x[-1])):
+                break
+    return x[-steps:]
+
+
+def test_forecast_sees_the_whole_series(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.round(100 + 30 * np.sin(np.arange(160) / 9) + rng.normal(0, 15, 160) * (np.arange(160) < 60), 2)
+    write(tmp_path, [(k, T0 + timedelta(hours=k), k, "click", float(v)) for k, v in enumerate(x)])
+    [r] = run(spark, tmp_path, "spectrum_forecast")
+    whole = looped_forecast(x, 8, [0, 1], 3)
+    assert r["ahead"] == pytest.approx(whole, rel=1e-4)
+    assert looped_forecast(x[-100:], 8, [0, 1], 3) != pytest.approx(whole, rel=1e-3)

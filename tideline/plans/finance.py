@@ -348,7 +348,7 @@ for _name, _f, _cols in (
     ("density_mode", lambda p: {"mode": T.density_mode(p.close)}, "mode double"),
     ("dickey_fuller", lambda p: dict(zip(("statistic", "critical"), T.dickey_fuller(p.close), strict=True)), "statistic double, critical double"),
     ("spectrum_rebuild", lambda p: {"error": float(np.abs(T.rebuild(*[T.spectrum(p.close, 10)[k] for k in (0, 2)], range(10)) - p.close.to_numpy()).max()), "count": T.component_count(p.close, 10)}, "error double, count int"),
-    ("spectrum_forecast", lambda p: {"ahead": T.forecast(p.close.to_numpy()[-100:], 8, [0, 1], 3).tolist()[-3:]}, "ahead array<double>"),
+    ("spectrum_forecast", lambda p: {"ahead": T.forecast(p.close.to_numpy(), 8, [0, 1], 3).tolist()[-3:]}, "ahead array<double>"),
 ):
 
     @R.query(_name)
