@@ -221,3 +221,37 @@ def test_forecast_sees_the_whole_series(spark, tmp_path):
     whole = looped_forecast(x, 8, [0, 1], 3)
     assert r["ahead"] == pytest.approx(whole, rel=1e-4)
     assert looped_forecast(x[-100:], 8, [0, 1], 3) != pytest.approx(whole, rel=1e-3)
+
+
+# an entry at every bar ---------------------------------------------------------------------------------------------
+
+
+def closes(bars):
+    out = defaultdict(list)
+    for (s, ts), b in bars.items():
+        out[s].append((ts, b))
+    return out
+
+
+def test_barriers_label_every_bar(spark, rows, folder):
+    want = {}
+    for s, own in closes(looped_bars(rows)).items():
+        for entry_, b in own:
+            p0, later = b["close"], [(ts, x["close"]) for ts, x in own if entry_ < ts <= entry_ + timedelta(hours=12)]
+            if not later:
+                continue
+            hit = next(((ts, 2 if p >= p0 * 1.5 else -2) for ts, p in later if p >= p0 * 1.5 or p <= p0 * 0.6), None)
+            last = later[-1]
+            want[s, entry_] = (hit[1], hit[0]) if hit else ((last[1] > p0) - (last[1] < p0), last[0])
+    got = {(r["symbol"], r["ts"]): (r["label"], r["hit"]) for r in run(spark, folder, "triple_barrier")}
+    assert len(want) > 200 and got == want
+
+
+def test_range_join_enters_at_every_bar(spark, rows, folder):
+    want = {}
+    for s, own in closes(looped_bars(rows)).items():
+        for k, (entry_, _) in enumerate(own, 1):
+            held = [b for ts, b in own if entry_ <= ts <= entry_ + timedelta(hours=9)]
+            want[s, k] = (len(held), max(b["high"] for b in held), min(b["low"] for b in held))
+    got = {(r["symbol"], r["trade"]): (r["n"], r["best"], r["worst"]) for r in run(spark, folder, "range_join_trades")}
+    assert got == want

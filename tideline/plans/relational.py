@@ -170,7 +170,7 @@ select tr.symbol, trade, count(*) as n, max(high) as best, min(low) as worst fro
 )
 def _(t):
     b = bars(t)
-    d = b.withColumn("trade", F.row_number().over(by_symbol()).cast("bigint")).filter("trade % 12 = 1")
+    d = b.withColumn("trade", F.row_number().over(by_symbol()).cast("bigint"))
     tr = d.select("symbol", "trade", F.col("ts").alias("entry"), (F.col("ts") + F.expr("interval 9 hours")).alias("exit"))
     return joins.range_join(tr, b, "symbol", "entry", "exit", "ts").groupBy("symbol", "trade").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("best"), F.min("low").alias("worst"))
 

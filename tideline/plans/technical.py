@@ -341,9 +341,8 @@ def _(t):
     "select symbol, entry as ts, case when u is not null and (d is null or u <= d) then 2 when d is not null then -2 else sign(lp - p0)::int end as label, case when u is not null and (d is null or u <= d) then u else coalesce(d, lt) end as hit from g",
 )
 def _(t):
-    b = bars(t)
-    e = b.withColumn("i", F.row_number().over(by_symbol())).filter("i % 10 = 3").select("symbol", "ts", F.col("close").alias("price"))
-    return segments.triple_barrier(e, b.select("symbol", "ts", F.col("close").alias("price")), 0.5, 0.4, "12 hours")
+    p = bars(t).select("symbol", "ts", F.col("close").alias("price"))
+    return segments.triple_barrier(p, p, 0.5, 0.4, "12 hours")
 
 
 @R.query("autocorrelation_filter", f"with recursive {BARS}, r as (select symbol, ts, close - lag(close) {_w}) as r from bars), l as (select *, lag(r) {_w}) as r1 from r), c as (select symbol, ts, case when count(r1) {_w} rows 19 preceding) = 20 then covar_pop(r, r1) {_w} rows 19 preceding) / nullif(stddev_pop(r) {_w} rows 19 preceding) * stddev_pop(r1) {_w} rows 19 preceding), 0) end as c from l) select symbol, ts, round(lag(c) {_w}), 6) as value from c")
