@@ -255,3 +255,38 @@ def test_range_join_enters_at_every_bar(spark, rows, folder):
             want[s, k] = (len(held), max(b["high"] for b in held), min(b["low"] for b in held))
     got = {(r["symbol"], r["trade"]): (r["n"], r["best"], r["worst"]) for r in run(spark, folder, "range_join_trades")}
     assert got == want
+
+
+# all five symbols --------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def daily(tmp_path_factory):
+    """One event a day and symbol over 30 days, and the closes by day and symbol."""
+    path = tmp_path_factory.mktemp("daily")
+    x = np.round(np.random.default_rng(8).uniform(50, 150, (30, 5)), 2)
+    write(path, [(5 * d + k, T0 + timedelta(days=d, hours=k), k, s, float(x[d, k])) for d in range(30) for k, s in enumerate(SYMBOLS)])
+    return path, x
+
+
+@pytest.mark.parametrize("name", ["weights_tangency", "weights_least_variance"])
+def test_weights_of_all_symbols(spark, daily, name):
+    r = np.diff(daily[1], axis=0) / daily[1][:-1]
+    want = {}
+    for fold in range(3):
+        own = r[5 * fold : 5 * fold + 15]
+        w = np.linalg.solve(np.cov(own.T), own.mean(axis=0) - 0.01 if name == "weights_tangency" else np.ones(5))
+        want |= {(fold, s): v for s, v in zip(SYMBOLS, w / w.sum(), strict=True)}
+    got = {(x["fold"], x["symbol"]): x["weight"] for x in run(spark, daily[0], name)}
+    assert set(got) >= set(want) and {s for _, s in got} == set(SYMBOLS)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-6)
+
+
+def test_cointegration_of_all_symbols(spark, daily):
+    from tideline.operators import stats
+
+    want = stats.johansen(daily[1], 2)
+    [got] = run(spark, daily[0], "johansen")
+    for c in ("eigenvalues", "trace", "largest"):
+        assert len(got[c]) == 5 and got[c] == pytest.approx(want[c].tolist(), rel=1e-6)

@@ -330,6 +330,9 @@ def _(t):
 
 # statistics --------------------------------------------------------------------------------------------------------
 
+_ALL = ["click", "error", "purchase", "signup", "view"]
+
+
 @R.query("j_divergence", f"with {BARS}, m as (select symbol, avg(open) as mp, avg(close) as mq, stddev_pop(open) as sp, stddev_pop(close) as sq from bars group by 1) select symbol, round(0.5 * (power(mp - mq, 2) * (1 / sp + 1 / sq) + sq / sp + sp / sq - 2), 9) as divergence from m")
 def _(t):
     return _q(T.j_divergence(bars(t), "open", "close"), "symbol", ("divergence", 9))
@@ -358,10 +361,10 @@ for _name, _f, _cols in (
 
 @R.query("johansen")
 def _(t):
-    wide = days(t).groupBy("ts").pivot("symbol", ["click", "error", "view"]).agg(F.max("close")).dropna().withColumn("g", F.lit(1))
+    wide = days(t).groupBy("ts").pivot("symbol", _ALL).agg(F.max("close")).dropna().withColumn("g", F.lit(1))
 
     def f(p):
-        j = T.johansen(p[["click", "error", "view"]].to_numpy(), 2)
+        j = T.johansen(p[_ALL].to_numpy(), 2)
         return {"eigenvalues": j["eigenvalues"].tolist(), "trace": j["trace"].tolist(), "largest": j["largest"].tolist()}
 
     return T.per_group(wide, ["g"], f, "eigenvalues array<double>, trace array<double>, largest array<double>").drop("g")
@@ -382,7 +385,7 @@ for _name, _f in (("weights_tangency", T.tangency), ("weights_least_variance", T
 
     @R.query(_name)
     def _(t, f=_f):
-        return T.rolling_weights(returns(t).filter("r is not null"), 15, 5, f, ["click", "error", "view"])
+        return T.rolling_weights(returns(t).filter("r is not null"), 15, 5, f, _ALL)
 
 
 @R.query("rolling_regression")
