@@ -290,3 +290,22 @@ def test_cointegration_of_all_symbols(spark, daily):
     [got] = run(spark, daily[0], "johansen")
     for c in ("eigenvalues", "trace", "largest"):
         assert len(got[c]) == 5 and got[c] == pytest.approx(want[c].tolist(), rel=1e-6)
+
+
+# excursions beside the ends of a source ----------------------------------------------------------------------------
+
+
+def test_excursions_beside_the_ends(spark):
+    from tideline.operators import spikes
+
+    n = 120
+    x = 100 * np.exp(np.random.default_rng(4).normal(0, 1e-3, (2, n)))
+    x[0, 1:5] *= 1.08
+    x[0, n - 5 : n - 1] *= 0.92
+    x[1, [0, 5, n - 6, n - 1]] *= 1.08  # the four readings between are right
+    for cuts in ([], [1, 2, 6, n - 4]):
+        stretch = np.searchsorted(cuts, np.arange(n), side="right") if cuts else np.zeros(n, int)
+        data = [(0, f"s{k}", int(stretch[i]), 1000 * i, 1000 * k + i, float(x[k, i])) for k in range(2) for i in range(n)]
+        df = spark.createDataFrame(data, "tab int, symbol string, stretch long, t long, id long, x double")
+        got = {r.rec_id for r in spikes.implausible(df).filter("flag = 'jump'").collect()}
+        assert got == {1, 2, 3, 4, n - 5, n - 4, n - 3, n - 2, 1005, 1000 + n - 6}, cuts[:3]

@@ -35,6 +35,8 @@ from .timestamps import normalise_bars
 
 #: How many readings an excursion may last.
 LONGEST = 4
+#: How many readings on one side are looked at: beside an end of the source as many more as the other side lacks.
+ASIDE = 2 * LONGEST - 1
 #: Interquartile ranges above the upper quartile up to which moves are regular.
 FENCE = 3.0
 #: How many times as far as regular moves go a reading must stand off.
@@ -129,7 +131,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((1, row[run[inner]], None, length[inner], np.ones(int(inner.sum()), np.int64), None))
         edge = head | tail
         out.append((2, row[run[edge]], head[edge] + 2 * tail[edge], length[edge], None, x[run[edge]]))
-        near = (place < LONGEST) | (left < LONGEST)
+        near = (place < ASIDE) | (left < ASIDE)
         out.append((3, row[near], None, t[near], ident[near], x[near]))
         for kind, at, k, a, m, v in out:
             size, at = len(at), pa.array(at)
@@ -197,8 +199,8 @@ def _context(s: DataFrame) -> DataFrame:
     limits = ends.join(limit, list(_KEY)).join(reach, list(_KEY), "left")
     a = limits.select(*_KEY, "stretch", F.lit(0).alias("kind"), F.col("limit").cast("bigint").alias("t"), F.col("head").alias("id"), F.coalesce("reach", F.lit(float("inf"))).alias("x"), (F.col("tail") * 2 + F.col("goes_on")).alias("e"))
     b = ends.select(*_KEY, "stretch").join(wide, list(_KEY)).select(*_KEY, "stretch", F.lit(1).alias("kind"), F.col("k").cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"), F.col("wider").alias("x"), F.lit(0).cast("bigint").alias("e"))
-    # each reading near an edge also goes to the stretches of the readings up to LONGEST places away
-    beside = F.array_distinct(F.array_compact(F.array(*[f("stretch", j).over(order) for f in (F.lag, F.lead) for j in range(1, LONGEST + 1)])))
+    # each reading near an edge also goes to the stretches of the readings up to ASIDE places away
+    beside = F.array_distinct(F.array_compact(F.array(*[f("stretch", j).over(order) for f in (F.lag, F.lead) for j in range(1, ASIDE + 1)])))
     c = s.filter("kind = 3").withColumn("_beside", beside).withColumn("_to", F.explode("_beside")).filter(F.col("_to") != F.col("stretch"))
     c = c.select(*_KEY, F.col("_to").alias("stretch"), F.lit(2).alias("kind"), F.col("a").alias("t"), F.col("n").alias("id"), "x", F.lit(1).cast("bigint").alias("e"))
     return a.unionByName(b).unionByName(c).select(*_HEADER)
@@ -215,7 +217,7 @@ def _jumps(own: np.ndarray, log: np.ndarray, reach: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.zeros(n, bool)
     v = {}
-    for j in range(-k, k + 1):
+    for j in range(-ASIDE, ASIDE + 1):
         to = np.clip(at + j, 0, n - 1)
         v[j] = np.where((at + j >= 0) & (at + j < n) & (own[to] == own[at]), log[to], np.nan)
     far, hit = FACTOR * reach[at], np.zeros(len(at), bool)
@@ -227,7 +229,9 @@ def _jumps(own: np.ndarray, log: np.ndarray, reach: np.ndarray) -> np.ndarray:
                 hit |= (off >= far) & (np.abs(lo - hi) < BACK * off)
     # between two spikes a regular reading also stands off; the middle of its surroundings tells
     at, far = at[hit], far[hit]
-    around = np.stack([v[j][hit] for j in v if j])
+    v = {j: v[j][hit] for j in v if j}
+    before, after = (sum(~np.isnan(v[side * j]) for j in range(1, k + 1)) for side in (-1, 1))
+    around = np.stack([np.where(abs(j) <= 2 * k - (after if j < 0 else before), v[j], np.nan) for j in v])
     middle = np.nanmedian(around, axis=0) if len(at) else np.zeros(0)
     out = np.zeros(n, bool)
     out[at[np.abs(log[at] - middle) >= reach[at]]] = True
