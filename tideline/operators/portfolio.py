@@ -145,10 +145,19 @@ def drawdown_episodes(df: DataFrame, column: str) -> DataFrame:
     return e.groupBy("symbol", "duration").agg(F.count(F.lit(1)).alias("occurrences"), F.avg("_m").alias("mean"), F.max("_m").alias("largest"), F.min("_m").alias("smallest"))
 
 
+def compounded(r: str, w) -> Column:
+    """The product of (1 + r) over the frame ``w``: 0 from a return of -1 or less on, missing ones count as 0."""
+    x = F.coalesce(r, F.lit(0.0))
+    return F.when(F.max((x <= -1).cast("int")).over(w) == 1, 0.0).otherwise(F.exp(F.sum(F.when(x > -1, F.log1p(x))).over(w)))
+
+
 def max_drawdown_pct(df: DataFrame) -> DataFrame:
-    """Lowest part of compounded returns under their own maximum so far (start of 1 included)."""
+    """Lowest part of compounded returns under their own maximum so far (start of 1 included).
+
+    A missing return counts as 0; one of -1 or less loses everything, for good.
+    """
     w = so_far(by_symbol())
-    x = df.withColumn("_c", F.exp(F.sum(F.log1p(F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(-0.999999)))).over(w)))
+    x = df.withColumn("_c", compounded("r", w))
     x = x.withColumn("_d", F.col("_c") / F.greatest(F.max("_c").over(w), F.lit(1.0)) - 1)
     return x.groupBy("symbol").agg(F.min("_d").alias("mdd_pct"))
 
@@ -177,16 +186,20 @@ def trades(executions: DataFrame) -> DataFrame:
     """Trades from executions: a trade lasts while the position keeps its sign.
 
     An execution that turns the position closes one trade and opens the next.
-    ``pnl`` is the cash that flowed between opening and closing; a trade that is
-    still open has a null ``exit``.
+    Executions go one by one in order of ``ts`` and, if there is one, ``seq``,
+    so those of one time that net to nothing keep their PnL. ``pnl`` is the
+    cash that flowed between opening and closing; a trade that is still open has
+    a null ``exit``. Executions of no quantity, without one or without a price
+    are passed over.
     """
-    w = so_far(by_symbol())
-    x = executions.groupBy("symbol", "ts").agg(F.sum("quantity").alias("q"), (F.sum(F.col("quantity") * F.col("price")) / F.nullif(F.sum("quantity"), F.lit(0.0))).alias("price")).filter("q <> 0")
-    x = x.withColumn("pos", F.round(F.sum("q").over(w), 9)).withColumn("_b", F.coalesce(F.lag("pos").over(by_symbol()), F.lit(0.0)))
+    seq = F.col("seq") if "seq" in executions.columns else F.lit(0)
+    x = executions.select("symbol", "ts", seq.alias("_seq"), F.col("quantity").alias("q"), "price").filter("q <> 0 and price is not null")
+    own = Window.partitionBy("symbol").orderBy("ts", "_seq")
+    x = x.withColumn("pos", F.round(F.sum("q").over(so_far(own)), 9)).withColumn("_b", F.coalesce(F.lag("pos").over(own), F.lit(0.0)))
     close = F.when(F.col("_b") * F.col("q") < 0, F.least(F.abs("_b"), F.abs("q")) * F.signum("q")).otherwise(0.0)
     parts = F.array(F.struct(F.lit(0).alias("k"), close.alias("dq"), F.signum("_b").alias("side")), F.struct(F.lit(1).alias("k"), (F.col("q") - close).alias("dq"), F.signum("q").alias("side")))
-    y = x.select("symbol", "ts", "price", "pos", F.inline(parts)).filter(F.abs("dq") > 1e-12)
-    order = Window.partitionBy("symbol").orderBy("ts", "k")
+    y = x.select("symbol", "ts", "_seq", "price", F.inline(parts)).filter(F.abs("dq") > 1e-12)
+    order = Window.partitionBy("symbol").orderBy("ts", "_seq", "k")
     run = F.sum(F.col("dq")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     y = y.withColumn("_p", F.round(run, 9))
     opens = (F.col("k") == 1) & (F.abs(F.col("_p") - F.col("dq")) < 1e-9)
@@ -245,12 +258,13 @@ def stats(df: DataFrame, cash: float) -> DataFrame:
 
 def growth(daily: DataFrame, cash: float | None = None) -> DataFrame:
     """Returns on the equity of the day before and the growth index. ``daily``: symbol, ts, pnl and,
-    without a fixed ``cash``, flow (cash brought in)."""
+    without a fixed ``cash``, flow (cash brought in). Days without equity before them are left
+    out; a return of -1 or less loses everything, for good."""
     w = by_symbol()
     base = F.lit(cash) + F.sum("pnl").over(so_far(w)) if cash is not None else F.sum(F.col("pnl") + F.col("flow")).over(so_far(w))
     x = daily.withColumn("_e", base)
-    x = x.withColumn("r", F.col("pnl") / F.nullif(F.lag("_e").over(w), F.lit(0.0))).filter("r is not null and r > -1")
-    return x.withColumn("growth", F.exp(F.sum(F.log1p("r")).over(so_far(w)))).drop("_e")
+    x = x.withColumn("r", F.col("pnl") / F.nullif(F.lag("_e").over(w), F.lit(0.0))).filter("r is not null")
+    return x.withColumn("growth", compounded("r", so_far(w))).drop("_e")
 
 
 def cash_flow(active: DataFrame, per_instrument: float) -> DataFrame:

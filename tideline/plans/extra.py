@@ -96,7 +96,7 @@ def _(t):
     return S.per_symbol(bars(t), f, "rest1 double, rest2 double, r2 double")
 
 
-@R.query("growth_index", f"with {DAYS}, p as (select symbol, ts, close - 45 as pnl from days), e as (select *, 5000 + sum(pnl) {_w}) as e from p), r as (select *, pnl / nullif(lag(e) {_w}), 0) as r from e) select symbol, ts, round(exp(sum(ln(1 + r)) {_w})), 6) as growth from r where r is not null and r > -1")
+@R.query("growth_index", f"with {DAYS}, p as (select symbol, ts, close - 45 as pnl from days), e as (select *, 5000 + sum(pnl) {_w}) as e from p), r as (select *, pnl / nullif(lag(e) {_w}), 0) as r from e) select symbol, ts, round(case when min(r) {_w}) <= -1 then 0 else exp(sum(case when r > -1 then ln(1 + r) end) {_w})) end, 6) as growth from r where r is not null")
 def _(t):
     x = days(t).select("symbol", "ts", (F.col("close") - 45).alias("pnl"))
     return P.growth(x, 5000.0).select("symbol", "ts", F.round("growth", 6).alias("growth"))

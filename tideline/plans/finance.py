@@ -96,7 +96,7 @@ def _(t):
     return _q(P.drawdown_episodes(_equity(t), "pnl"), "symbol", "duration", "occurrences", ("mean", 6), ("largest", 6), ("smallest", 6))
 
 
-@R.query("max_dd_pct", f"with {RETURNS}, c as (select symbol, ts, exp(sum(ln(1 + greatest(coalesce(r, 0), -0.999999))) {_w})) as c from rets), d as (select symbol, c / greatest(max(c) {_w}), 1) - 1 as d from c) select symbol, round(min(d), 6) as mdd_pct from d group by 1")
+@R.query("max_dd_pct", f"with {RETURNS}, c as (select symbol, ts, case when min(coalesce(r, 0)) {_w}) <= -1 then 0 else exp(sum(case when coalesce(r, 0) > -1 then ln(1 + coalesce(r, 0)) end) {_w})) end as c from rets), d as (select symbol, c / greatest(max(c) {_w}), 1) - 1 as d from c) select symbol, round(min(d), 6) as mdd_pct from d group by 1")
 def _(t):
     return _q(P.max_drawdown_pct(returns(t)), "symbol", ("mdd_pct", 6))
 
@@ -141,7 +141,7 @@ def _(t):
 
 # executions --------------------------------------------------------------------------------------------------------
 
-_EX = "ex as (select event_type as symbol, ts, event_id as seq, (user_id % 5 - 2)::double as quantity, value as price, user_id % 2 = 0 as crossed, event_type = 'view' as is_futures from events where user_id % 7 = 0 and user_id % 5 <> 2)"
+_EX = "ex as (select event_type as symbol, ts, event_id as seq, (user_id % 5 - 2)::double as quantity, value as price, user_id % 2 = 0 as crossed, event_type = 'view' as is_futures from events where user_id % 5 <> 2)"
 
 
 def _executions(t):
@@ -159,11 +159,13 @@ def _(t):
     return _q(P.linear_pnl(_executions(t), m), "symbol", "ts", "pos", ("value", 6), ("pnl", 6))
 
 
-_TRADES = f"""{_EX}, x as (select symbol, ts, quantity as q, price, round(sum(quantity) {_w}), 9) as pos from ex), y as (select *, coalesce(lag(pos) {_w}), 0) as b from x),
+_TR = """x as (select symbol, ts, seq, quantity as q, price, round(sum(quantity) over (partition by symbol order by ts, seq), 9) as pos from ex where quantity <> 0), y as (select *, coalesce(lag(pos) over (partition by symbol order by ts, seq), 0) as b from x),
 z as (select *, case when b * q < 0 then least(abs(b), abs(q)) * sign(q) else 0 end as cl from y),
-p as (select symbol, ts, price, 0 as k, cl as dq, sign(b) as side from z where abs(cl) > 1e-12 union all select symbol, ts, price, 1, q - cl, sign(q) from z where abs(q - cl) > 1e-12),
-s as (select *, sum(dq) over (partition by symbol order by ts, k) as p from p), n as (select *, sum(case when k = 1 and abs(p - dq) < 1e-9 then 1 else 0 end) over (partition by symbol order by ts, k) as trade from s),
+p as (select symbol, ts, seq, price, 0 as k, cl as dq, sign(b) as side from z where abs(cl) > 1e-12 union all select symbol, ts, seq, price, 1, q - cl, sign(q) from z where abs(q - cl) > 1e-12),
+s as (select *, sum(dq) over (partition by symbol order by ts, seq, k) as p from p), n as (select *, sum(case when k = 1 and abs(p - dq) < 1e-9 then 1 else 0 end) over (partition by symbol order by ts, seq, k) as trade from s),
 tr as (select symbol, trade::bigint as trade, min(ts) as entry, case when max((abs(p) < 1e-9)::int) = 1 then max(ts) end as exit, max(side)::int as direction, sum(case when k = 1 then abs(dq) else 0 end) as quantity, case when max((abs(p) < 1e-9)::int) = 1 then -sum(dq * price) end as pnl from n group by 1, 2)"""
+_TRADES = f"{_EX}, {_TR}"
+_HOURLY = _EX.replace("ts, event_id", "date_trunc('hour', ts)::timestamp as ts, event_id")
 
 
 @R.query("trades_from_executions", f"with {_TRADES} select symbol, trade, entry, exit, direction, quantity, round(pnl, 6) as pnl from tr")
@@ -171,6 +173,13 @@ def _(t):
     return _q(P.trades(_executions(t)), "symbol", "trade", "entry", "exit", "direction", "quantity", ("pnl", 6))
 
 
+@R.query("trades_at_equal_times", f"with {_HOURLY}, {_TR} select symbol, trade, entry, exit, direction, quantity, round(pnl, 6) as pnl from tr")
+def _(t):
+    """The executions of an hour at one time, so that many net to nothing."""
+    x = _executions(t).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return _q(P.trades(x), "symbol", "trade", "entry", "exit", "direction", "quantity", ("pnl", 6))
+
+
 @R.query(
     "trade_excursions",
     f"with {BARS}, {_TRADES} select tr.symbol, trade, direction, case when direction > 0 then max(high) else min(low) end as favourable, case when direction > 0 then min(low) else max(high) end as adverse, count(*) as bars from tr join bars b on b.symbol = tr.symbol and b.ts between entry and exit group by 1, 2, 3",

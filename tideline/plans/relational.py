@@ -165,7 +165,7 @@ def _(t):
 
 @R.query(
     "range_join_trades",
-    f"""with {BARS}, d as (select symbol, ts, close, row_number() {_w}) as i from bars), tr as (select symbol, i as trade, ts as entry, ts + interval 9 hour as exit from d where i % 12 = 1)
+    f"""with {BARS}, d as (select symbol, ts, close, row_number() {_w}) as i from bars), tr as (select symbol, i as trade, ts as entry, ts + interval 9 hour as exit from d)
 select tr.symbol, trade, count(*) as n, max(high) as best, min(low) as worst from tr join bars b on tr.symbol = b.symbol and b.ts between tr.entry and tr.exit group by 1, 2""",
 )
 def _(t):
@@ -208,7 +208,7 @@ def _portfolio(t, k):
     return x.agg(F.count(F.lit(1)).cast("double").alias("pos"), F.sum("value").alias("pnl"), F.max("value").alias("price"), F.sum("value").alias("value"), (F.count(F.lit(1)) * 0.1).alias("commissions"))
 
 
-@R.query("combine_portfolios", f"with {_PF} select symbol, ts, sum(pos) as pos, round(sum(pnl), 6) as pnl, round(avg(price), 6) as price, round(sum(pnl), 6) as value, round(sum(pos * 0.1), 6) as commissions from p where u in (1, 2, 3) group by 1, 2")
+@R.query("combine_portfolios", f"with {_PF} select symbol, ts, sum(pos) as pos, round(sum(pnl), 6) as pnl, round(avg(price), 6) as price, round(sum(pnl), 6) as value, round(sum(pos * 0.1), 6) as commissions from p group by 1, 2")
 def _(t):
     x = joins.combine_portfolios(*[_portfolio(t, k) for k in range(7)])
     return x.select("symbol", "ts", "pos", *[F.round(c, 6).alias(c) for c in ("pnl", "price", "value", "commissions")])

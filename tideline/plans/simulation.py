@@ -132,7 +132,7 @@ def _(t):
     return x.select("ts", "amount", F.round("amount_converted", 6).alias("converted"))
 
 
-@R.query("inverse_contracts", "with ex as (select event_type as symbol, (user_id % 5 - 2)::double as quantity, value as price from events where user_id % 7 = 0 and user_id % 5 <> 2 and value > 0), m as (select event_type as symbol, arg_max(value, ts) as price from events group by 1), a as (select symbol, sum(quantity) as q, sum(quantity / price) as c from ex group by 1) select symbol, q, round(c - q / m.price, 6) as pnl from a join m using (symbol)")
+@R.query("inverse_contracts", "with ex as (select event_type as symbol, (user_id % 5 - 2)::double as quantity, value as price from events where user_id % 5 <> 2 and value > 0), m as (select event_type as symbol, arg_max(value, ts) as price from events group by 1), a as (select symbol, sum(quantity) as q, sum(quantity / price) as c from ex group by 1) select symbol, q, round(c - q / m.price, 6) as pnl from a join m using (symbol)")
 def _(t):
     e = t.events.filter("user_id % 5 <> 2 and value > 0").select(F.col("event_type").alias("symbol"), (F.col("user_id") % 5 - 2).cast("double").alias("quantity"), F.col("value").alias("price"))
     m = t.events.groupBy(F.col("event_type").alias("symbol")).agg(F.max_by("value", "ts").alias("price"))

@@ -336,7 +336,7 @@ def _(t):
 
 @R.query(
     "triple_barrier",
-    f"with {BARS}, e as (select symbol, ts as entry, close as p0 from (select *, row_number() {_w}) as i from bars) where i % 10 = 3), x as (select e.symbol, entry, p0, b.ts, b.close as p from e join bars b on b.symbol = e.symbol and b.ts > entry and b.ts <= entry + interval 12 hour), "
+    f"with {BARS}, e as (select symbol, ts as entry, close as p0 from bars), x as (select e.symbol, entry, p0, b.ts, b.close as p from e join bars b on b.symbol = e.symbol and b.ts > entry and b.ts <= entry + interval 12 hour), "
     "g as (select symbol, entry, p0, min(case when p >= p0 * 1.5 then ts end) as u, min(case when p <= p0 * 0.6 then ts end) as d, arg_max(p, ts) as lp, max(ts) as lt from x group by 1, 2, 3) "
     "select symbol, entry as ts, case when u is not null and (d is null or u <= d) then 2 when d is not null then -2 else sign(lp - p0)::int end as label, case when u is not null and (d is null or u <= d) then u else coalesce(d, lt) end as hit from g",
 )
