@@ -211,6 +211,95 @@ def test_spikes_over_edges_of_stretches(spark):
     assert {i for i, f in brute_flags(x) if f == "jump"} == {100, 200, 201, 202, 203, 620, 622, 898}
 
 
+@pytest.mark.parametrize("rows", [20, 45, 130])
+def test_long_stretches_in_pieces(spark, monkeypatch, rows):
+    """One stretch taken in pieces gives the flags of the same readings in many stretches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n = 700
+    x = 100 * np.exp(np.cumsum(rng.normal(0, 1e-3, n)))
+    x[30] *= 1.05
+    x[90:94] *= 0.93
+    x[128:131] = x[127]
+    x[200:330] = x[200]  # over many pieces
+    x[440] *= 1.006  # beyond the fence and fast
+    x[690:] = x[690]
+    t = 60_000_000 * np.arange(n, dtype=np.int64)
+    t[440:] -= 59_900_000
+    t[441:] -= 59_900_000
+    data = [(0, "a", 0, int(t[k]), k, float(x[k])) for k in range(n)] + [(0, "b", k // 50, int(t[k]), 10_000 + k, float(x[k])) for k in range(n)]
+    df = spark.createDataFrame(data + data[::7], "tab int, symbol string, stretch long, t long, id long, x double")
+    want = {(r.rec_id, r.flag) for r in spikes.implausible(df).collect()}
+    assert {(i + 10_000, f) for i, f in want if i < 10_000} == {(i, f) for i, f in want if i >= 10_000}
+    assert {f for _, f in want} == {"jump", "stuck", "rate"} and (440, "rate") in want
+
+    # the two passes by hand, with few rows gathered at a time
+    def batches(d):
+        names = [c for c in d.columns]
+        rows_ = d.sort("tab", "symbol", "stretch", *([c for c in ("kind",) if c in names]), "t", "id").toArrow()
+        return iter(rows_.to_batches(max_chunksize=11))
+
+    monkeypatch.setattr(spikes, "ROWS", rows)
+    survey = pa.Table.from_batches(list(spikes._survey(batches(df))))
+    s = spark.createDataFrame(survey.to_pandas().astype({"kind": "int32", "tab": "int32"}), spikes._SURVEY)
+    whole = df.selectExpr("tab", "symbol", "stretch", "2 as kind", "t", "id", "x", "cast(0 as bigint) as e", "cast(null as array<double>) as h")
+    flags = [r for b in spikes._flags(batches(whole.unionByName(spikes._context(s)))) for r in b.to_pylist()]
+    assert {(r["rec_id"], r["flag"]) for r in flags} == want and len(flags) == len(want)
+
+
+def test_a_dense_shard_takes_time_in_proportion(monkeypatch):
+    """Five million rows of one shard: no more than the gathered rows are held, and each is worked on once."""
+    import time
+
+    import pyarrow as pa
+
+    def stream(n, shards):
+        t = np.arange(n, dtype=np.int64) * 10
+        side = (np.arange(n) % 5 == 2).astype(np.int32)
+        t = t + side * 3
+        for a in range(0, n, 10_000):
+            m = min(10_000, n - a)
+            yield pa.RecordBatch.from_arrays([pa.array(["x"] * m), pa.array((np.arange(a, a + m) * shards // n).astype(np.int64)), pa.array(side[a : a + m]), pa.array(t[a : a + m]), pa.array(np.arange(a, a + m)), pa.array(np.full(m, 1000, np.int64))], names=["_entity", "_shard", "_side", "_t", "_id", "_tol"])
+
+    most, match = [], nearest._match
+    monkeypatch.setattr(nearest, "_match", lambda *a: most.append(len(a[0])) or match(*a))
+    took = {}
+    for n in (1_000_000, 5_000_000):
+        began = time.time()
+        got = pa.Table.from_batches(list(nearest._matched(stream(n, 1))))
+        took[n] = time.time() - began
+        probe, candidate = (got.column(c).to_numpy() for c in ("probe_id", "candidate_id"))
+        assert len(probe) == len(set(probe.tolist())) == n // 5 and (candidate == probe - 1).sum() + (candidate == probe + 1).sum() == len(probe)
+    assert max(most) <= nearest.ROWS + 10_000 + 200
+    assert took[5_000_000] < 9 * took[1_000_000]
+
+
+def test_shards_cut_anywhere(spark, monkeypatch):
+    """Few rows at a time give what all at once give, with ties, repeats and tolerances longer than a shard."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    c = [("a", rnd.randrange(3000), k) for k in range(600)]
+    p = [("a", rnd.randrange(3000), k) for k in range(400)]
+    s, tols = "entity string, t long, id long", spark.createDataFrame([("a", 40)], "entity string, tol_us long")
+    want = {k: min(near)[2] for _, t, k in p if (near := [(abs(t - u), u, i) for _, u, i in c if abs(t - u) <= 40])}
+    for rows in (7, 10_000):  # the widths of the shards depend on it
+        monkeypatch.setattr(nearest, "ROWS", rows)
+        got = nearest.nearest_in_time(spark.createDataFrame(p + p[::3], s), spark.createDataFrame(c + c[::3], s), tols, shard_us=30).collect()
+        assert {r.probe_id: r.candidate_id for r in got} == want and len(got) == len(want)
+    # sorted rows of shards of 500 with their overlaps, a few at a time
+    rows = [("a", u, k, 0) for _, u, k in c + c[::3]] + [("a", u, k, 1) for _, u, k in p + p[::3]]
+    rows = sorted((e, q, side, t, i) for e, t, i, side in rows for q in ({t // 500} if side else {(t - 40) // 500, (t + 40) // 500}))
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[2], r[4]))
+    for size in (1, 3, 17, 100):
+        monkeypatch.setattr(nearest, "ROWS", size)
+        parts = [rows[k : k + 5] for k in range(0, len(rows), 5)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in q]), pa.array([r[1] for r in q], pa.int64()), pa.array([r[2] for r in q], pa.int32()), pa.array([r[3] for r in q], pa.int64()), pa.array([r[4] for r in q], pa.int64()), pa.array([40] * len(q), pa.int64())], names=["_entity", "_shard", "_side", "_t", "_id", "_tol"]) for q in parts]
+        got = [(r["probe_id"], r["candidate_id"]) for b in nearest._matched(iter(batches)) for r in b.to_pylist()]
+        assert dict(got) == want and len(got) == len(want), size
+
+
 def test_spikes_of_flat_short_and_empty_sources(spark):
     s = "tab int, symbol string, stretch long, t long, id long, x double"
     rows = [(0, "flat", 0, k, k, 5.0) for k in range(30)] + [(0, "one", 0, 1, 100, 2.0)] + [(1, "two", 0, k, 200 + k, 1.0 + k) for k in range(2)]

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes, as the optimizer estimates them, up to which a side may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -37,13 +37,15 @@ def nan_to_null(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.when(~F.isnan(df[n]), df[n]) for n in names})
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows.
+def small(df: DataFrame, like: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the optimizer's estimate of its size is at most ``limit`` bytes.
 
-    The size is counted, reading no more than ``rows + 1`` rows; beyond it the
-    join is left to Spark, which shuffles.
+    No job runs. ``like``: a table that ``df`` has no more rows than, whose size
+    is looked at instead. Beyond the limit, or where nothing is known of the
+    size, the join is left to Spark, which shuffles or decides at run time.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = (df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size) <= limit else df
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Matching records by nearest time, with a learned index.
 
-Both tables are cut into shards of one entity and one stretch of time. Shard
-edges overlap: a candidate within the entity's tolerance of an edge also goes
-to the neighbouring shard, so every shard has all that its probes can need. In
-a partition the shards lie one after the other, sorted; a bounded number of
-rows at a time becomes one sorted array of keys, over which a piecewise-linear
-index is fitted: each piece predicts the position of a key with an error of at
-most ``ERROR``. A probe's neighbours are then exact after a search within that
-error.
+Both tables are cut into shards of one entity and one stretch of time, the
+shorter, the denser the entity's rows lie. Shard edges overlap: a candidate
+within the entity's tolerance of an edge also goes to the neighbouring shard, so
+every shard has all that its probes can need. In a partition the shards lie one
+after the other, sorted; a bounded number of rows at a time becomes one sorted
+array of keys, over which a piecewise-linear index is fitted: each piece
+predicts the position of a key with an error of at most ``ERROR``. A probe's
+neighbours are then exact after a search within that error. Of a shard that is
+longer than this number of rows, only the last candidate and the probes after
+it that a later one may still be nearest to are kept for the next rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from ..frames import small, us
 ERROR = 8
 #: Keys of a piece before it is split.
 PIECE = 256
-#: Rows gathered before whole shards are matched.
+#: Rows gathered before they are matched, and aimed at in a shard.
 ROWS = 200_000
-#: The stretch of time of a shard.
+#: The longest stretch of time of a shard, unless the tolerance asks for a longer one.
 SHARD_US = 6 * 3_600_000_000
 
 
@@ -72,13 +74,14 @@ class LearnedIndex:
 
 
 def _match(shard: np.ndarray, side: np.ndarray, t: np.ndarray, ident: np.ndarray, tol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of probes and of their nearest candidates, of whole shards sorted by shard, time and id."""
+    """Ids of probes and of their nearest candidates, of rows sorted by shard, time, side and id."""
     which = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1
     t0 = t - t.min()
     span = int(t0.max()) + 1 + 2 * (int(tol.max()) + 1)
     if span * (int(which[-1]) + 1) >= 2**62:  # keys of distant times would not fit: shard by shard
-        parts = [_match(shard[m], side[m], t[m], ident[m], tol[m]) for k in range(int(which[-1]) + 1) if len(m := np.flatnonzero(which == k))] if which[-1] else []
-        if parts:
+        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        if len(edges) > 2:
+            parts = [_match(*(v[x:y] for v in (shard, side, t, ident, tol))) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     key = which * span + t0
     candidate = side == 0
@@ -101,39 +104,56 @@ def _match(shard: np.ndarray, side: np.ndarray, t: np.ndarray, ident: np.ndarray
     return pi[ok], ci[np.where(use_before, at, at + 1)[ok]]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gathers sorted rows and matches the shards that are there in full."""
-    names = ("_entity", "_shard", "_side", "_t", "_id", "_tol")
-    kept: list[pa.RecordBatch] = []
-    rows = 0
+def _undecided(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows whose last shard may go on: which are kept for later, and which are decided now.
 
-    def done(table: pa.Table, shard: np.ndarray) -> pa.RecordBatch:
-        column = lambda n: table.column(n).to_numpy()
-        a, b = _match(shard, column("_side"), column("_t"), column("_id"), column("_tol"))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["probe_id", "candidate_id"])
-
-    def numbered(table: pa.Table) -> np.ndarray:
-        entity = table.column("_entity").combine_chunks()
-        if isinstance(entity, pa.ChunkedArray):
-            entity = pa.concat_arrays(entity.chunks)
-        code, s = entity.dictionary_encode().indices.to_numpy(), table.column("_shard").to_numpy()
-        new = np.r_[True, (code[1:] != code[:-1]) | (s[1:] != s[:-1])]
-        return np.cumsum(new)
+    Kept are the last shard's last candidate and the probes behind it that lie
+    within their tolerance of the newest time; the candidate serves both.
+    """
+    shard, side, t, _, tol = rows
+    own = shard == shard[-1]
+    candidates = np.flatnonzero(own & (side == 0))
+    last = candidates[-1] if len(candidates) else int(np.argmax(own)) - 1
+    open_ = own & (side == 1) & (np.arange(len(t)) > last) & (t + tol >= t[-1])
+    keep = open_.copy()
+    if len(candidates):  # with it the ones of its time before it: the smallest id counts
+        keep |= own & (side == 0) & (t == t[last])
+        same = np.flatnonzero(keep & (side == 0))
+        keep[same[1:]] = False
+    return keep, ~open_
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathers sorted rows and matches them, each row being numbered and copied a bounded number of times."""
+    kept: tuple[np.ndarray, ...] | None = None
+    gathered: list[tuple[np.ndarray, ...]] = []
+    size, number, end = 0, 0, None
+
+    def flush(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, gathered, size
+        rows = tuple(np.concatenate(x) for x in zip(*([kept] if kept is not None else []), *gathered, strict=True))
+        gathered, size = [], 0
+        if not final:
+            keep, now = _undecided(rows)
+            kept, rows = tuple(v[keep] for v in rows), tuple(v[now] for v in rows)
+        if len(rows[0]):
+            a, b = _match(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["probe_id", "candidate_id"])
 
     for batch in batches:
-        if batch.num_rows:
-            kept.append(batch.select(names))
-            rows += batch.num_rows
-        if rows >= ROWS:
-            table = pa.Table.from_batches(kept)
-            shard = numbered(table)
-            cut = int(np.searchsorted(shard, shard[-1]))
-            if cut:
-                yield done(table.slice(0, cut), shard[:cut])
-                kept, rows = table.slice(cut).to_batches(), len(shard) - cut
-    if rows:
-        table = pa.Table.from_batches(kept)
-        yield done(table, numbered(table))
+        if not batch.num_rows:
+            continue
+        entity, shard = batch.column("_entity"), batch.column("_shard").to_numpy()
+        code = entity.dictionary_encode().indices.to_numpy()
+        new = np.r_[end != (entity[0].as_py(), shard[0]), (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]
+        own = number + np.cumsum(new)
+        number, end = int(own[-1]), (entity[-1].as_py(), shard[-1])
+        gathered.append((own, *(batch.column(n).to_numpy() for n in ("_side", "_t", "_id", "_tol"))))
+        size += batch.num_rows
+        if size >= ROWS:
+            yield from flush(False)
+    if gathered or kept is not None:
+        yield from flush(True)
 
 
 def nearest_in_time(probes: DataFrame, candidates: DataFrame, tolerance: DataFrame, shard_us: int = SHARD_US) -> DataFrame:
@@ -145,19 +165,24 @@ def nearest_in_time(probes: DataFrame, candidates: DataFrame, tolerance: DataFra
     id. A probe without candidate within the tolerance has no row; rows with a
     null are left out; repeated rows count once; empty tables give no rows.
     """
-    own = small(tolerance.filter(F.col("tol_us") >= 0).groupBy(F.col("entity").alias("_e")).agg(F.max("tol_us").cast("bigint").alias("_tol")))
-
-    def side(df: DataFrame, k: int) -> DataFrame:
-        x = df.select(F.col("entity").cast("string").alias("_entity"), F.col("t").cast("bigint").alias("_t"), F.col("id").cast("bigint").alias("_id")).dropna()
+    own = tolerance.filter(F.col("tol_us") >= 0).groupBy(F.col("entity").cast("string").alias("_e")).agg(F.max("tol_us").cast("bigint").alias("_tol"))
+    sides = [df.select(F.col("entity").cast("string").alias("_entity"), F.col("t").cast("bigint").alias("_t"), F.col("id").cast("bigint").alias("_id")).dropna() for df in (candidates, probes)]
+    # an entity's shards are as long as some ROWS rows last, and at least twice its tolerance: a candidate then goes to two shards at most
+    n = sides[0].select("_entity", "_t").unionByName(sides[1].select("_entity", "_t")).groupBy("_entity").agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t") + 1).alias("_span"))
+    pace = F.least(F.lit(float(shard_us)), F.col("_span") * (float(ROWS) / F.col("_n")))
+    own = own.join(n, F.col("_e") == F.col("_entity"), "left").select("_e", "_tol", F.greatest(F.coalesce(pace, F.lit(1.0)).cast("bigint"), 2 * F.col("_tol") + 1).alias("_width"))
+    own = small(own, tolerance)
+
+    def side(x: DataFrame, k: int) -> DataFrame:
         x = x.join(own, F.col("_entity") == F.col("_e")).drop("_e")
-        at = lambda t: F.floor(t / F.lit(shard_us)).cast("bigint")
+        at = lambda t: F.floor(t / F.col("_width")).cast("bigint")
         t, tol = F.col("_t"), F.col("_tol")
         shards = F.array(at(t)) if k else F.sequence(at(t - tol), at(t + tol))
         return x.select("_entity", F.explode(shards).alias("_shard"), F.lit(k).cast("int").alias("_side"), "_t", "_id", "_tol")
 
-    both = side(candidates, 0).unionByName(side(probes, 1))
-    both = both.repartition("_entity", "_shard").sortWithinPartitions("_entity", "_shard", "_t", "_id")
-    return both.mapInArrow(_shards, "probe_id bigint, candidate_id bigint")
+    both = side(sides[0], 0).unionByName(side(sides[1], 1))
+    both = both.repartition("_entity", "_shard").sortWithinPartitions("_entity", "_shard", "_t", "_side", "_id")
+    return both.mapInArrow(_matched, "probe_id bigint, candidate_id bigint")
 
 
 def plain(name: Column) -> Column:

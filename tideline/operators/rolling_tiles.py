@@ -65,7 +65,9 @@ def rolling_totals(df: DataFrame, entity: str, ts: str, value: Column, windows:
     entity has a row. ``value`` is a whole number (say, cents); a null adds
     nothing, and so does a day without rows. Rows with a null ``ts`` are left
     out; a null entity is an entity of its own. With ``key``, rows that agree in
-    the entity and these columns count once. An empty table gives no rows.
+    the entity, these columns, day and value count once. An empty table gives no
+    rows. Both uses of the rows below need all their columns, so that they share
+    one scan and one exchange.
     """
     halo = max(windows) - 1
     if halo >= tile:
@@ -73,7 +75,8 @@ def rolling_totals(df: DataFrame, entity: str, ts: str, value: Column, windows:
     rows = df.select(F.col(entity).cast("string").alias("_entity"), F.unix_date(F.col(ts).cast("date")).cast("bigint").alias("_day"), value.cast("bigint").alias("_v"), *[F.col(k).alias(f"_key_{k}") for k in key])
     rows = rows.filter(F.col("_day").isNotNull())
     if key:
-        rows = rows.dropDuplicates(["_entity", *[f"_key_{k}" for k in key]])
+        names = ["_entity", *[f"_key_{k}" for k in key]]
+        rows = rows.repartition(*names).distinct()
     daily = rows.groupBy("_entity", "_day").agg(F.sum("_v").alias("_v"))
     tile_of = lambda d: F.floor(d / F.lit(tile)).cast("bigint")
     # a day's sum goes to its tile and, near the tile's end, to the next one's halo

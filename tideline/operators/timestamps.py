@@ -157,31 +157,49 @@ def _packed(df: DataFrame, key: str, feeds: DataFrame, *used: str) -> DataFrame:
     return x.join(_feed_settings(feeds), F.col("_own") == F.col("_feed"), "left")
 
 
+def _own() -> Column:
+    """Tells apart records without an id, none of which repeats another; null for the others."""
+    return F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
+
+
 def _unpacked(x: DataFrame, names: list[str]) -> DataFrame:
-    x = x.select("_row", "_key", F.col("_utc_us").alias("_out")).dropDuplicates(["_key"])
+    x = x.select("_row", "_key", _own().alias("_own_id"), F.col("_utc_us").alias("_out")).dropDuplicates(["_key", "_own_id"])
     return x.select(*[F.col(f"_row.`{n}`").alias(n) for n in names if n != "utc_us"], F.col("_out").alias("utc_us"))
 
 
+def _quotes(raw: DataFrame, feeds: DataFrame) -> DataFrame:
+    return with_instant(_packed(raw, "rec_id", feeds, "time", "tz"), "_utc_us", "_in_time", "_in_tz", "_zone", "_order")
+
+
+def _bars(bars: DataFrame, feeds: DataFrame) -> DataFrame:
+    return with_day(_packed(bars, "bar_id", feeds, "date"), "_utc_us", "_in_date", "_order")
+
+
 def normalise_quotes(raw: DataFrame, feeds: DataFrame) -> DataFrame:
     """``raw`` with ``utc_us``: one row per record (``rec_id``), repeats dropped.
 
     Null, empty and unusable times give a null ``utc_us``. Records of a feed that
     ``feeds`` doesn't have count as UTC and, for dates that begin with neither
     year nor a month's name, as undetermined. Other columns pass unchanged; one
-    named ``utc_us`` is replaced. Records with a null id count as one.
+    named ``utc_us`` is replaced. A record with a null id repeats no other one.
     Repeats are dropped after the parsing: the exchange keeps a later filter on
     ``utc_us`` from being pushed into the cascade and evaluated many times over.
     """
-    return _unpacked(with_instant(_packed(raw, "rec_id", feeds, "time", "tz"), "_utc_us", "_in_time", "_in_tz", "_zone", "_order"), raw.columns)
+    return _unpacked(_quotes(raw, feeds), raw.columns)
 
 
 def normalise_bars(bars: DataFrame, feeds: DataFrame) -> DataFrame:
     """``bars`` with ``utc_us`` (00:00 UTC of the date), one row per ``bar_id``; else as above."""
-    return _unpacked(with_day(_packed(bars, "bar_id", feeds, "date"), "_utc_us", "_in_date", "_order"), bars.columns)
+    return _unpacked(_bars(bars, feeds), bars.columns)
 
 
 def found(raw: DataFrame, bars: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``tab``, ``rec_id``, ``utc_us`` of every record whose text determines an instant."""
-    a = normalise_quotes(raw.select("rec_id", "feed", "time", "tz"), feeds).filter(F.col("utc_us").isNotNull()).select(F.lit("raw_quotes").alias("tab"), F.col("rec_id").cast("bigint").alias("rec_id"), "utc_us")
-    b = normalise_bars(bars.select("bar_id", "feed", "date"), feeds).filter(F.col("utc_us").isNotNull()).select(F.lit("daily_bars").alias("tab"), F.col("bar_id").cast("bigint").alias("rec_id"), "utc_us")
-    return a.unionByName(b)
+    """``tab``, ``rec_id``, ``utc_us`` of every record whose text determines an instant.
+
+    Only ids and instants go through the exchange that drops repeats.
+    """
+    parts = []
+    for tab, x in (("raw_quotes", _quotes(raw, feeds)), ("daily_bars", _bars(bars, feeds))):
+        once = x.select(F.col("_key").cast("bigint").alias("_key"), _own().alias("_own_id"), "_utc_us").groupBy("_key", "_own_id").agg(F.max("_utc_us").alias("utc_us"))
+        parts.append(once.filter(F.col("utc_us").isNotNull()).select(F.lit(tab).alias("tab"), F.col("_key").alias("rec_id"), "utc_us"))
+    return parts[0].unionByName(parts[1])

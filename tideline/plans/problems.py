@@ -62,21 +62,36 @@ def _p3(t):
     return grid.found(t.quotes, t.instruments)
 
 
-@R.query(
-    "p3_grid",
-    _CELLS
-    + """, r as (select distinct symbol, epoch_us(time) as t, quote_id, bid, ask from quotes where time is not null and bid is not null and ask is not null and not isnan(bid) and not isnan(ask)),
-h as (select symbol, t, case when isfinite(bid) then bid end as bid, case when isfinite(ask) then ask end as ask, least(coalesce(lead(t) over (partition by symbol order by t, quote_id), t + 86400000000), t + 86400000000) as e from r),
+_STEPS = """, r as (select distinct symbol, epoch_us(time) as t, quote_id, bid, ask from quotes where time is not null and bid is not null and ask is not null and not isnan(bid) and not isnan(ask)),
+h as (select symbol, t, case when isfinite(bid) then bid end as bid, case when isfinite(ask) then ask end as ask, coalesce(lead(t) over (partition by symbol order by t, quote_id), 9000000000000000000) as e from r),
 c as (select symbol, d * 86400000000 + c * len as a, least(d * 86400000000 + (c + 1) * len, (d + 1) * 86400000000) as z from k),
-o as (select c.symbol, a, z, h.t >= a and h.t < z as inside, greatest(least(h.e, z) - greatest(h.t, a), 0)::double as w, bid, ask from c left join h on c.symbol = h.symbol and h.t < z and (h.e > a or h.t >= a)),
+o as (select c.symbol, a, z, h.t >= a and h.t < z as inside, case when h.t is not null then greatest(least(h.e, z) - greatest(h.t, a), 0) end::double as w, bid, ask from c left join h on c.symbol = h.symbol and h.t < z and (h.e > a or h.t >= a)),
 g as (select symbol, a, z, coalesce(sum(inside::int), 0)::bigint as n, coalesce(sum(w), 0) as w, sum(w * bid) / nullif(sum(case when bid is not null then w end), 0) as b, sum(w * ask) / nullif(sum(case when ask is not null then w end), 0) as k from o group by 1, 2, 3)
-select symbol, cast(a as bigint) as period_us, n as n_rows, round(b, 6) as bid_twa, round(k, 6) as ask_twa, round(w / (z - a), 9) as coverage, case when n > 0 then 'observed' when w > 0 then 'filled' else 'empty' end as state from g""",
-)
+select symbol, cast(a as bigint) as period_us, n as n_rows, round(b, 6) as bid_twa, round(k, 6) as ask_twa, round(w / (z - a), 9) as coverage, case when n > 0 then 'observed' when w > 0 then 'filled' else 'empty' end as state from g"""
+
+
+@R.query("p3_grid", _CELLS + _STEPS)
 def _p3_grid(t):
     g = grid.regular_grid(t.quotes, t.instruments)
+    return _rounded(g)
+
+
+def _rounded(g):
     return g.withColumns({"bid_twa": F.round("bid_twa", 6), "ask_twa": F.round("ask_twa", 6), "coverage": F.round("coverage", 9)})
 
 
+#: All periods from a symbol's first to its last row.
+_WHOLE = _CELLS.replace("k as (select symbol, d, len, unnest(generate_series(a, b)) as c from s)", """e as (select symbol, len, min(d) as d0, max(d) as d1, arg_min(a, d) as a, arg_max(b, d) as b from s group by 1, 2), y as (select *, unnest(generate_series(d0, d1)) as d from e),
+k as (select symbol, d, len, unnest(generate_series(case when d = d0 then a else 0 end, case when d = d1 then b else (86400000000 - 1) // len end)) as c from y)""")
+#: A reading holds for six hours at most.
+_HELD = _STEPS.replace("9000000000000000000) as e", "9000000000000000000) as e0").replace("from r),\nc as", "from r),\nh as (select *, least(e0, t + 21600000000) as e from h0),\nc as", 1).replace("\nh as (select symbol, t, case", "\nh0 as (select symbol, t, case", 1)
+
+
+@R.query("p3_series", _WHOLE + _HELD)
+def _p3_series(t):
+    return _rounded(grid.regular_grid(t.quotes, t.instruments, hold_us=6 * 3_600_000_000, whole=True))
+
+
 @R.query(
     "p4_found",
     r"""with n as (select upper(symbol) as n, symbol as s, tol_ms from instruments union select upper(instrument), symbol, tol_ms from instruments),

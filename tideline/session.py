@@ -19,18 +19,36 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (unit tests in one JVM) a temporary
-    folder is set.
+    Where none is named, a session in one process (tests) gets a temporary
+    folder; on a cluster that would be another folder on each machine, so it is
+    an error there.
     """
-    own = spark.conf.get("spark.checkpoint.dir", None)
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get()
-    own = own or "file://" + tempfile.mkdtemp(prefix="tideline-")
+    own = spark.conf.get("spark.checkpoint.dir", None) or _temporary(spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def _temporary(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; there is none, and the master is {master}")
+    return "file://" + tempfile.mkdtemp(prefix="tideline-")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> SparkSession:
+    """Batches of at most ``rows`` rows and ``size`` bytes to the Python workers, for jobs on long texts.
+
+    A setting of the session, which no operator changes by itself.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
