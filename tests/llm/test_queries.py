@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("TIDELINE_TESTDATA", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["p6_ids", "p7_found", "p7_mix", "p8_found", "p8_labels"])
+@pytest.mark.parametrize("name", ["p6_ids", "p7_found", "p7_mix", "p7_report", "p8_found", "p8_labels"])
 def test_query_runs(spark, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables here")

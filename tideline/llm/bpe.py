@@ -23,7 +23,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import regex
 from pyspark.sql import DataFrame
 
 #: Folder of the vocabulary files unless a parameter names another.
@@ -33,14 +32,11 @@ VOCABULARY = "byte_bpe_50k"
 MEMORY, LONGEST = 400_000, 64
 #: Characters worked on before a batch of rows is handed on.
 BATCH_CHARS = 1_000_000
-#: Rows and bytes of the batches that Spark hands to a worker, where the session has larger ones.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 #: Fixed value: how the vocabulary splits a text before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts without the characters of ``_UNLIKE``.
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_FULL = regex.compile(PATTERN)
 
 
 #: Outside these characters ``re`` and the pattern may class a character differently.
@@ -60,6 +56,9 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         import ahocorasick
+        import regex
+
+        self.full = regex.compile(PATTERN)
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -148,7 +147,7 @@ class Encoder(dict):
         return ids
 
     def words(self, text: str) -> list[str]:
-        return (_FULL if _UNLIKE.search(text) else _PLAIN).findall(text)
+        return (self.full if _UNLIKE.search(text) else _PLAIN).findall(text)
 
     def ids(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.words(text)))) if text else []
@@ -165,16 +164,6 @@ def encoder(name: str = VOCABULARY, folder: str = FOLDER) -> Encoder:
     return _ENCODERS[path]
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the size of the batches of texts that go to the workers."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(key, None)
-        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut by the length of the texts, so that neither many nor long texts fill the memory."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
@@ -214,15 +203,16 @@ def encode_corpus(docs: DataFrame, ident: str = "doc_id", text: str = "text", na
     """``ident`` and ``ids``, one row per row of ``docs``, without a shuffle.
 
     Without special tokens: a text that looks like one is ordinary text; nothing
-    is trimmed or normalised. An empty and a null text give an empty list.
+    is trimmed or normalised. An empty and a null text give an empty list. Spark
+    hands whole batches to a worker; ``session.bounded_batches`` makes them small.
     Repeated rows give repeated rows, a null ``ident`` stays null.
     """
     x = docs.selectExpr(f"cast(`{ident}` as bigint) as id", f"cast(`{text}` as string) as text")
-    return small_batches(x).mapInArrow(lambda b: _encode(b, name, folder), "id bigint, ids array<int>").withColumnRenamed("id", ident)
+    return x.mapInArrow(lambda b: _encode(b, name, folder), "id bigint, ids array<int>").withColumnRenamed("id", ident)
 
 
 def count_tokens(docs: DataFrame, *keep: str, text: str = "text", name: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, one row per row of ``docs``, without a shuffle."""
     x = docs.select(*keep, docs[text].cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "text")
-    return small_batches(x).mapInArrow(lambda b: _count(b, name, folder), f"{schema}, n_tokens bigint")
+    return x.mapInArrow(lambda b: _count(b, name, folder), f"{schema}, n_tokens bigint")

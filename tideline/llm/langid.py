@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import FOLDER, _slices, small_batches
+from .bpe import FOLDER, _slices
 from .prose import GAP, prose
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 PIECES = "piece_bpe_32k.model"
 #: The most labelled sentences that the fit takes.
 SAMPLES = 20_000
-#: Words that a paragraph needs to have a language, and full sentences that one in another language needs.
-LEAST_WORDS, SENTENCES = 3, 2
-#: Words that a worker remembers, and the letters of a word that are scored; longer words are scored in parts.
-MEMORY, PART = 500_000, 40
+#: Full sentences that a paragraph in another language needs.
+SENTENCES = 2
+#: Words that a worker remembers.
+MEMORY = 500_000
 _START = "\u2581"
 _TOKEN = re.compile(rf"[^\W\d_]+|[.!?\u2026]+(?=[\s)\]\"'\u00bb\u201d\u2019]|\Z)|{GAP}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -112,16 +112,24 @@ class Unigrams:
                     into[p] += n * ahead[a] * q * back[b] / ahead[size]
 
     def score(self, word: str) -> np.ndarray:
-        """Log probability of a word in each language, summed over all segmentations."""
-        out = np.zeros(len(LANGUAGES))
-        for k in range(0, len(word), PART):
-            part = word[k : k + PART]
-            ahead = [np.ones(len(LANGUAGES))] + [np.zeros(len(LANGUAGES)) for _ in range(len(part) + 1)]
-            for a, b, p in self._arcs(part):
-                q = self.table.get(p, self.floor) if p else self.floor * 1e-3
-                ahead[b] = ahead[b] + ahead[a] * q
-            out += np.log(np.maximum(ahead[-1], 1e-290))
-        return out
+        """Log probability of a word of any length in each language, summed over all segmentations."""
+        k, w = len(LANGUAGES), _START + word
+        # probabilities of the prefixes that a piece can begin after, over a common scale that keeps them from vanishing
+        ahead, scale = deque([np.ones(k)], maxlen=self.longest), np.zeros(k)
+        for end in range(1, len(w) + 1):
+            total = np.zeros(k)
+            for start in range(max(0, end - self.longest), end):
+                piece = w[start:end]
+                if piece in self.vocabulary:
+                    total += ahead[start - end] * self.table.get(piece, self.floor)
+                elif end - start == 1:
+                    total += ahead[-1] * self.floor * 1e-3
+            ahead.append(total)
+            if end % 16 == 0:
+                most = np.max(ahead, axis=0)
+                scale += np.log(most)
+                ahead = deque((a / most for a in ahead), maxlen=self.longest)
+        return np.log(ahead[-1]) + scale
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
         """0 for a gap, 1 for a sentence's end, else the row of the word's scores."""
@@ -186,7 +194,7 @@ def _score(model: Unigrams, flat: list[np.ndarray], first: np.ndarray) -> tuple[
     sure = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if n else np.zeros(0)
     doc = np.repeat(np.arange(len(flat)), gaps)
     number = np.arange(n) - np.repeat(np.cumsum(gaps) - gaps, gaps) + first[doc]
-    keep = words >= LEAST_WORDS
+    keep = words > 0
     return doc[keep], number[keep], best[keep], sure[keep], words[keep], ends[keep]
 
 
@@ -232,13 +240,13 @@ def label_documents(docs: DataFrame, samples: DataFrame, folder: str = FOLDER) -
     """
     model = fit(samples, folder)
     x = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    return small_batches(x).mapInArrow(lambda b: _label(b, model), _SCHEMA).withColumnRenamed("id", "doc_id")
+    return x.mapInArrow(lambda b: _label(b, model), _SCHEMA).withColumnRenamed("id", "doc_id")
 
 
 def found(docs: DataFrame, samples: DataFrame, folder: str = FOLDER) -> DataFrame:
     """``doc_id``, ``segment``, ``lang``: wrong or missing labels, and passages in another language."""
     model = fit(samples, folder)
     x = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), named(F.col("lang")).alias("named")).alias("id"), F.col("text").cast("string").alias("text"))
-    out = small_batches(x).mapInArrow(lambda b: _label(b, model), _SCHEMA.replace("id bigint", "id struct<doc_id:bigint,named:string>"))
+    out = x.mapInArrow(lambda b: _label(b, model), _SCHEMA.replace("id bigint", "id struct<doc_id:bigint,named:string>"))
     wrong = (F.col("segment") > 0) | ~F.col("id.named").eqNullSafe(F.col("lang"))
     return out.filter(wrong).select(F.col("id.doc_id").alias("doc_id"), "segment", "lang")
