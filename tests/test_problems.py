@@ -1,5 +1,6 @@
 """Edge cases of the operators p1 to p5 against brute force on small tables."""
 
+import math
 import random
 from datetime import date, datetime, timedelta
 
@@ -229,10 +230,11 @@ def test_long_stretches_in_pieces(spark, monkeypatch, rows):
     t[440:] -= 59_900_000
     t[441:] -= 59_900_000
     data = [(0, "a", 0, int(t[k]), k, float(x[k])) for k in range(n)] + [(0, "b", k // 50, int(t[k]), 10_000 + k, float(x[k])) for k in range(n)]
-    df = spark.createDataFrame(data + data[::7], "tab int, symbol string, stretch long, t long, id long, x double")
+    data += [(0, s, 0, 5 * k, 20_000 + 100 * i + k, [0.0, -1.0, math.inf][k % 3]) for i, s in enumerate("ab") for k in range(70)]
+    df = spark.createDataFrame(data + data[::7] + data[-30:], "tab int, symbol string, stretch long, t long, id long, x double")
     want = {(r.rec_id, r.flag) for r in spikes.implausible(df).collect()}
-    assert {(i + 10_000, f) for i, f in want if i < 10_000} == {(i, f) for i, f in want if i >= 10_000}
-    assert {f for _, f in want} == {"jump", "stuck", "rate"} and (440, "rate") in want
+    assert {(i + 10_000, f) for i, f in want if i < 10_000} == {(i, f) for i, f in want if 10_000 <= i < 20_000}
+    assert {f for _, f in want} == {"jump", "stuck", "rate", "value"} and (440, "rate") in want and sum(f == "value" for _, f in want) == 140
 
     # the two passes by hand, with few rows gathered at a time
     def batches(d):
@@ -241,9 +243,9 @@ def test_long_stretches_in_pieces(spark, monkeypatch, rows):
         return iter(rows_.to_batches(max_chunksize=11))
 
     monkeypatch.setattr(spikes, "ROWS", rows)
-    survey = pa.Table.from_batches(list(spikes._survey(batches(df))))
+    survey = pa.Table.from_batches(list(spikes._survey(batches(df.filter("x > 0 and x <> double('infinity')")))))
     s = spark.createDataFrame(survey.to_pandas().astype({"kind": "int32", "tab": "int32"}), spikes._SURVEY)
-    whole = df.selectExpr("tab", "symbol", "stretch", "2 as kind", "t", "id", "x", "cast(0 as bigint) as e", "cast(null as array<double>) as h")
+    whole = df.selectExpr("tab", "symbol", "stretch", "case when x > 0 and x <> double('infinity') then 2 else -1 end as kind", "t", "id", "x", "cast(0 as bigint) as e", "cast(null as array<double>) as h")
     flags = [r for b in spikes._flags(batches(whole.unionByName(spikes._context(s)))) for r in b.to_pylist()]
     assert {(r["rec_id"], r["flag"]) for r in flags} == want and len(flags) == len(want)
 

@@ -143,7 +143,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None
 
 def _fresh(own: np.ndarray, t: np.ndarray, ident: np.ndarray) -> np.ndarray:
     """False for a row that repeats the one before."""
-    return np.r_[True, (own[1:] != own[:-1]) | (t[1:] != t[:-1]) | (ident[1:] != ident[:-1])]
+    return np.r_[True, (own[1:] != own[:-1]) | (t[1:] != t[:-1]) | (ident[1:] != ident[:-1])][: len(t)]
 
 
 _SURVEY = "kind int, tab int, symbol string, stretch bigint, p int, k int, a bigint, n bigint, x double"
@@ -236,7 +236,8 @@ def _context(s: DataFrame) -> DataFrame:
     kind 0: the source's limits (h fences of the 24 hours, x that of moves by
     time, t run limit, id length of the run that the stretch's first run is part
     of, e that of the last one times two, plus one if the first run goes on from
-    an earlier stretch). kind 2, e 1: a reading beside the stretch.
+    an earlier stretch). kind 2, e 1: a reading beside the stretch. (Of the rows
+    of the readings themselves kind -1 are values that can't be, kind 2 the others.)
     """
     source = Window.partitionBy(*_KEY)
     # runs over edges: the last run of a piece and the first one of the next
@@ -340,7 +341,7 @@ class _Long:
     limits and, of a run that may still become a stuck one, the ids."""
 
     def __init__(self) -> None:
-        self.tab, self.begun = 0, 0
+        self.tab, self.begun, self.off = 0, 0, None
         self.t, self.id, self.x, self.real = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
         self.hours, self.fast, self.limit, self.head, self.tail, self.goes_on = np.full(24, np.inf), np.inf, 2**60, 0, 0, False
         self.value, self.count, self.first, self.ids = np.nan, 0, True, []
@@ -351,6 +352,12 @@ class _Long:
             get = lambda n: table.column(n).to_numpy()
             kind, t, ident, x, e = get("kind"), get("t"), get("id"), get("x"), get("e")
             self.tab = int(get("tab")[0])
+            off = np.flatnonzero(kind < 0)
+            if len(off):
+                fresh = _fresh(np.zeros(len(off)), t[off], ident[off])
+                fresh[0] = (t[off[0]], ident[off[0]]) != self.off
+                self.off = (t[off[-1]], ident[off[-1]])
+                yield from _given(table, off[fresh], "value")
             for i in np.flatnonzero(kind == 0):
                 h = table.column("h")[int(i)].as_py()
                 self.hours = np.array(h) if h is not None else self.hours
@@ -363,7 +370,7 @@ class _Long:
         log, reach = np.log(self.x), self.hours[(self.t % _DAY) // _HOUR]
         decided = max(self.begun, n - NEAR) if more else n
         now = self.real & (np.arange(n) >= self.begun) & (np.arange(n) < decided)
-        jump = _jumps(own, log, reach)
+        jump = _jumps(own, log, reach) if n else np.zeros(0, bool)
         rate = _rates(own, log, self.t, reach, np.full(n, self.fast), jump)
         for flag, hit in (("jump", jump), ("rate", rate)):
             yield from self._out(self.id[hit & now], flag)
@@ -414,6 +421,7 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = own - own[0]
         get = lambda n, table=table: table.column(n).to_numpy()
         kind, t, ident, x, e = get("kind"), get("t"), get("id"), get("x"), get("e")
+        yield from _given(table, np.flatnonzero((kind < 0) & _fresh(own, t, ident)), "value")
         groups = int(own[-1]) + 1
         reach, fast, limit, head, tail, goes_on = np.full((groups, 24), np.inf), np.full(groups, np.inf), np.full(groups, 2**60), np.zeros(groups, np.int64), np.zeros(groups, np.int64), np.zeros(groups, bool)
         h = kind == 0
@@ -462,13 +470,12 @@ def implausible(r: DataFrame) -> DataFrame:
     Empty tables give no rows. The survey's table is written to the shared folder.
     """
     good = (F.col("x") > 0) & (F.col("x") != float("inf"))
-    bad = r.filter(~good).select("tab", F.col("id").alias("rec_id"), F.lit("value").alias("flag")).distinct()
-    part = r.filter(good).select("tab", "symbol", "stretch", "t", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
+    part = r.select("tab", "symbol", "stretch", "t", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"))
     together = lambda df, *order: df.repartition(*_KEY, "stretch").sortWithinPartitions(*_KEY, "stretch", *order, "t", "id")
-    s = written(together(part).mapInArrow(_survey, _SURVEY))
-    data = part.select("tab", "symbol", "stretch", F.lit(2).alias("kind"), "t", "id", "x", F.lit(0).cast("bigint").alias("e"), F.lit(None).cast("array<double>").alias("h"))
+    s = written(together(part.filter(good)).mapInArrow(_survey, _SURVEY))
+    data = part.select("tab", "symbol", "stretch", F.when(good, 2).otherwise(-1).alias("kind"), "t", "id", "x", F.lit(0).cast("bigint").alias("e"), F.lit(None).cast("array<double>").alias("h"))
     flagged = together(data.unionByName(_context(s)), "kind").mapInArrow(_flags, "tab int, rec_id bigint, flag string")
-    return bad.unionByName(flagged).withColumn("tab", F.element_at(F.array(*map(F.lit, TABS)), F.col("tab") + 1))
+    return flagged.withColumn("tab", F.element_at(F.array(*map(F.lit, TABS)), F.col("tab") + 1))
 
 
 def found(quotes: DataFrame, fills: DataFrame, bars: DataFrame, instruments: DataFrame, feeds: DataFrame) -> DataFrame:
