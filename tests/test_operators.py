@@ -378,3 +378,50 @@ def test_signal_algebra(spark):
     on = s([(0, True), (4, False), (6, True)], "on boolean")
     assert at(signals.where_on(b, on)) == [(2, 1.0), (6, 1.0), (7, -1.0)]
     assert at(signals.both(a, s([(1, -1.0), (2, 1.0)]))) == [(1, -1.0), (2, 1.0), (5, -1.0)]
+
+
+# shards of time ----------------------------------------------------------------------------------------------------
+
+
+def test_rows_before_and_numbers_over_shards(spark):
+    rng = np.random.default_rng(17)
+    rows = [(s, T0 + timedelta(minutes=int(m)), k, float(k % 7)) for k, (s, m) in enumerate(zip(rng.choice(["a", "b", ""], 300).tolist(), rng.integers(0, 9000, 300), strict=True))]
+    rows = [(s or None, t, k, v) for s, t, k, v in rows] + [("a", None, 900, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq int, v double").withColumn("_n", F.lit(1))
+    want, number = {}, {}
+    for s in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or T0, r[2]))
+        for i, r in enumerate(own):
+            want[r[2]], number[r[2]] = own[i - 1][3] if i else None, i + 1
+    for shard in (3_600_000_000, 86_400_000_000, 10**15):
+        got = rolling.with_previous(df, ["symbol"], ["ts", "seq"], ["v"], shard).collect()
+        assert {r.seq: r["_prev"].v if r["_prev"] else None for r in got} == want and len(got) == len(rows)
+        assert {r.seq: r["_i"] for r in rolling.with_index(df, ["symbol"], ["ts", "seq"], shard_us=shard).collect()} == number
+    assert rolling.with_previous(df.limit(0), ["symbol"], ["ts"], ["v"]).count() == 0
+
+
+def test_gaps_over_stretches(spark):
+    x = series(spark, [5, None, 7, 8], "close", step=3600 * 50).withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    for stretch in (1, 7, 1024):
+        got = column(resample.fill_gaps(x, "1 hour", stretch=stretch), "close")
+        assert got == [5.0] * 100 + [7.0] * 50 + [8.0]
+    assert column(resample.fill_gaps(x, "1 hour", method="null", stretch=7), "close")[49:52] == [None] * 3
+    assert resample.fill_gaps(x.limit(0), "1 hour").count() == 0
+
+
+def test_nearest_of_all_series(spark):
+    rng = np.random.default_rng(5)
+    x = {f"s{k}": np.cumsum(rng.normal(size=12)).round(3) for k in range(14)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()] + [(None, [1.0]), ("gone", None)], "symbol string, v array<double>")
+    want = {k: min((stats.warp_distance(v, y, 4), s) for s, y in x.items() if s != k)[1] for k, v in x.items()}
+    for blocks in (1, 3):
+        assert {r.symbol: r.nearest for r in stats.nearest_of_all(df, 4, blocks=blocks).collect()} == want
+
+
+def test_a_shared_folder_or_an_error():
+    from tideline import session
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session._temporary(master)
+    assert session._temporary("local[4]").startswith("file://") and session._temporary("local")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import us
+from .rolling import with_index
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], direction: str = "backward", strict: bool = False, shard: str = "1 day", seq: str | None = None, tolerance_us: int | None = None) -> DataFrame:
@@ -98,12 +99,14 @@ def combine_portfolios(*logs: DataFrame) -> DataFrame:
 
 
 def near_points(df: DataFrame, points: DataFrame, key: str, ts: str, before: int, after: int, inside: bool = True) -> DataFrame:
-    """Rows at most ``before`` rows ahead of and ``after`` rows behind a marked one (or all others)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    marks = points.select(key, ts).distinct().withColumn("_p", F.lit(1))
-    x = df.join(marks, [key, ts], "left")
-    near = F.max("_p").over(w.rowsBetween(-after, before))
-    return x.withColumn("_near", near.isNotNull()).filter("_near" if inside else "not _near").drop("_p", "_near")
+    """Rows at most ``before`` rows ahead of and ``after`` rows behind a marked one (or all others).
+
+    Rows are numbered by shards of time; each mark gives the numbers around it.
+    """
+    x = with_index(df, [key], [ts])
+    marks = x.select(key, ts, "_i").join(points.select(key, ts).distinct(), [key, ts], "left_semi")
+    near = marks.select(F.col(key).alias("_key"), F.explode(F.sequence(F.col("_i") - before, F.col("_i") + after)).alias("_j")).distinct()
+    return x.join(near, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_i") == F.col("_j")), "left_semi" if inside else "left_anti").drop("_i")
 
 
 def flat_prices(b: DataFrame, freq: str, session: tuple[str, str] | None = None) -> DataFrame:

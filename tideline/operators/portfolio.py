@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..frames import by_symbol, small, so_far, trailing
 from .joins import asof_join, range_join
-from .rolling import with_runs
+from .rolling import with_previous, with_runs
 
 #: Periods of a year.
 DAILY, WEEKLY, MONTHLY, YEARLY = 252, 52, 12, 1
@@ -241,8 +241,8 @@ def sampled(states: DataFrame, seconds: int, columns: Sequence[str]) -> DataFram
 
 def cut_at_margin(equity: DataFrame, cash: float, part: float = 0.33) -> DataFrame:
     """Rows up to the first at which the equity is down to ``part`` of the cash."""
-    low = F.min(F.when(cash + F.col("pnl") <= part * cash, F.col("ts"))).over(Window.partitionBy("symbol"))
-    return equity.withColumn("_c", low).filter(F.col("_c").isNull() | (F.col("ts") <= F.col("_c"))).drop("_c")
+    low = equity.filter(cash + F.col("pnl") <= part * cash).groupBy("symbol").agg(F.min("ts").alias("_c"))
+    return equity.join(low, "symbol", "left").filter(F.col("_c").isNull() | (F.col("ts") <= F.col("_c"))).drop("_c")
 
 
 def stats(df: DataFrame, cash: float) -> DataFrame:
@@ -270,8 +270,8 @@ def growth(daily: DataFrame, cash: float | None = None) -> DataFrame:
 def cash_flow(active: DataFrame, per_instrument: float) -> DataFrame:
     """Cash brought in as instruments become active: ``ts``, ``flow`` from symbol, ts, price."""
     n = active.groupBy("ts").agg(F.count("price").alias("_n"))
-    w = Window.partitionBy(F.lit(1)).orderBy("ts")
-    return n.withColumn("flow", per_instrument * (F.col("_n") - F.coalesce(F.lag("_n").over(w), F.lit(0)))).drop("_n")
+    x = with_previous(n, [], ["ts"], ["_n"])
+    return x.select("ts", (per_instrument * (F.col("_n") - F.coalesce("_prev._n", F.lit(0)))).alias("flow"))
 
 
 def merge_chunks(*chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import nan_to_null, require_columns, with_totals
+from ..frames import nan_to_null, ntz, require_columns, us, with_totals
+from .rolling import with_previous
 
 
 def _bucket(ts: Column, freq: str, tz: str | None, origin: str) -> Column:
@@ -67,30 +68,52 @@ def quote_bars(quotes: DataFrame, freq: str, weighted: bool = False, gaps: str =
     return b if gaps == "drop" else fill_gaps(b, freq, method="null")
 
 
-def fill_gaps(b: DataFrame, freq: str, method: str = "ffill", columns: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:
-    """A row for every period between a symbol's first and last; new ones null or carried forward."""
-    span = b.groupBy("symbol").agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
-    grid = span.select("symbol", F.explode(F.sequence("_a", "_z", F.expr(f"interval {freq}"))).alias("ts"))
+def fill_gaps(b: DataFrame, freq: str, method: str = "ffill", columns: Sequence[str] = ("open", "high", "low", "close"), stretch: int = 1024) -> DataFrame:
+    """A row for every period between a symbol's first and last; new ones null or carried forward.
+
+    The periods are numbered from the first one on and laid out in stretches of so
+    many, as are the rows; what is carried into a stretch comes from a table of
+    one row per symbol and stretch. Periods have a fixed length.
+    """
+    step = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + interval {freq}) - unix_micros(timestamp'1970-01-01 00:00:00')")
+    span = b.groupBy("symbol").agg(F.min(us(F.col("ts"))).alias("_a"), F.floor((F.max(us(F.col("ts"))) - F.min(us(F.col("ts")))) / step).alias("_n"))
+    parts = span.select("symbol", "_a", "_n", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / stretch).cast("int"))).alias("_part"))
+    numbers = F.sequence(F.col("_part").cast("bigint") * stretch, F.least((F.col("_part").cast("bigint") + 1) * stretch - 1, F.col("_n")))
+    grid = parts.select("symbol", "_part", "_a", F.explode(numbers).alias("_i"))
+    grid = grid.select("symbol", "_part", ntz(F.col("_a") + F.col("_i") * step).alias("ts"))
     out = grid.join(b, ["symbol", "ts"], "left")
     if method == "null":
-        return out
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+        return out.drop("_part")
+    order = Window.partitionBy("symbol", "_part").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    ends = out.groupBy("symbol", "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_e_{c}") for c in columns])
+    before = Window.partitionBy("symbol").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("symbol", "_part", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in columns])
+    filled = out.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in columns}).join(ends, ["symbol", "_part"], "left")
+    return filled.withColumns({c: F.coalesce(c, f"_b_{c}") for c in columns}).drop("_part", *[f"_b_{c}" for c in columns])
+
+
+def _steps(df: DataFrame, ts: str) -> DataFrame:
+    """``symbol``, ``step_us``: the differences of a symbol's successive times, equal times counting once."""
+    d = with_previous(df.select("symbol", F.col(ts).alias("ts")).filter(F.col("ts").isNotNull()), ["symbol"], ["ts"], ["ts"])
+    return d.select("symbol", (us(F.col("ts")) - us(F.col("_prev.ts"))).alias("step_us")).filter(F.col("step_us") > 0)
+
+
+def _modal(steps: DataFrame) -> DataFrame:
+    n = steps.groupBy("symbol", "step_us").count()
+    return n.groupBy("symbol").agg(F.max_by("step_us", F.struct("count", -F.col("step_us"))).alias("step_us"))
 
 
 def modal_step(df: DataFrame, ts: str = "ts") -> DataFrame:
     """``symbol``, ``step_us``: the most frequent difference of times, of as many the smallest."""
-    w = Window.partitionBy("symbol").orderBy(ts)
-    d = df.select("symbol", F.col(ts)).distinct().withColumn("step_us", F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")))
-    n = d.filter(F.col("step_us").isNotNull()).groupBy("symbol", "step_us").count()
-    return n.groupBy("symbol").agg(F.max_by("step_us", F.struct("count", -F.col("step_us"))).alias("step_us"))
+    return _modal(_steps(df, ts))
 
 
 def gap_report(df: DataFrame, least: int = 1, ts: str = "ts") -> DataFrame:
     """Symbols with at least ``least`` steps that differ from their modal step, and how many."""
-    w = Window.partitionBy("symbol").orderBy(ts)
-    d = df.select("symbol", F.col(ts)).distinct().withColumn("_d", F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")))
-    return d.join(modal_step(df, ts), "symbol").filter(F.col("_d") != F.col("step_us")).groupBy("symbol").agg(F.count(F.lit(1)).alias("gaps"), F.max("_d").alias("longest_us")).filter(F.col("gaps") >= least)
+    n = _steps(df, ts).groupBy("symbol", "step_us").agg(F.count(F.lit(1)).alias("_n"))
+    top = n.groupBy("symbol").agg(F.max_by("step_us", F.struct("_n", -F.col("step_us"))).alias("_modal"))
+    out = n.join(top, "symbol").filter(F.col("step_us") != F.col("_modal")).groupBy("symbol").agg(F.sum("_n").alias("gaps"), F.max("step_us").alias("longest_us"))
+    return out.filter(F.col("gaps") >= least)
 
 
 def compound(returns: DataFrame, period: str, r: str = "r", keys: Sequence[str] = ("symbol",)) -> DataFrame:

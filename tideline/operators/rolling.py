@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import full, so_far, trailing
+from ..frames import full, so_far, trailing, us
+
+#: The stretch of time of a shard.
+SHARD_US = 86_400_000_000
 
 
 def rolling_sum(x: Column, w, n: int) -> Column:
@@ -125,8 +128,34 @@ def crossed_down(x: Column, level: Column, w) -> Column:
     return (x < level) & (F.lag(x).over(w) >= F.lag(level).over(w))
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], shard_us: int = SHARD_US) -> DataFrame:
+    """``_prev``: the columns of the key's row before (null on its first row), by shards of time.
+
+    ``order``: the time and what orders equal times. A key's rows spread over its
+    shards; what stands before a shard comes from a table of one row per shard.
+    Rows without time come first; null keys are one key.
+    """
+    key, shard = F.struct(*keys) if keys else F.struct(F.lit(0)), F.coalesce(F.floor(us(F.col(order[0])) / shard_us), F.lit(-(1 << 60)))
+    x = df.withColumns({"_wp_k": key, "_wp_sh": shard})
+    w, value = Window.partitionBy("_wp_k", "_wp_sh").orderBy(*order), F.struct(*columns)
+    edge = x.groupBy("_wp_k", "_wp_sh").agg(F.max_by(value, F.struct(*order)).alias("_wp_last"))
+    edge = edge.select("_wp_k", "_wp_sh", F.lag("_wp_last").over(Window.partitionBy("_wp_k").orderBy("_wp_sh")).alias("_wp_edge"))
+    x = x.withColumns({"_wp_in": F.lag(value).over(w), "_wp_n": F.row_number().over(w)}).join(edge, ["_wp_k", "_wp_sh"], "left")
+    return x.withColumn("_prev", F.when(F.col("_wp_n") == 1, F.col("_wp_edge")).otherwise(F.col("_wp_in"))).drop("_wp_k", "_wp_sh", "_wp_in", "_wp_n", "_wp_edge")
+
+
+def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_i", shard_us: int = SHARD_US) -> DataFrame:
+    """The number of each row in its key's order, from 1 on, by shards of time as above."""
+    key, shard = F.struct(*keys), F.coalesce(F.floor(us(F.col(order[0])) / shard_us), F.lit(-(1 << 60)))
+    x = df.withColumns({"_wi_k": key, "_wi_sh": shard})
+    n = x.groupBy("_wi_k", "_wi_sh").agg(F.count(F.lit(1)).alias("_wi_c"))
+    n = n.select("_wi_k", "_wi_sh", (F.sum("_wi_c").over(so_far(Window.partitionBy("_wi_k").orderBy("_wi_sh"))) - F.col("_wi_c")).alias("_wi_before"))
+    x = x.withColumn("_wi_n", F.row_number().over(Window.partitionBy("_wi_k", "_wi_sh").orderBy(*order))).join(n, ["_wi_k", "_wi_sh"], "left")
+    return x.withColumn(out, F.col("_wi_n") + F.col("_wi_before")).drop("_wi_k", "_wi_sh", "_wi_n", "_wi_before")
+
+
 def last_rows(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
-    """The n last rows of each key."""
+    """The n last rows of each key. Spark keeps n rows of a key in each task before it shuffles, so a key's size doesn't matter."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
@@ -146,8 +175,7 @@ def spread_equal_times(df: DataFrame, keys: Sequence[str], ts: str, seq: str) ->
 
 def changes_only(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows in which one of the columns differs from the row before; the first row stays."""
-    w = Window.partitionBy(key).orderBy(*order)
     same = F.lit(True)
     for c in columns:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    return df.withColumn("_keep", (F.row_number().over(w) == 1) | ~same).filter("_keep").drop("_keep")
+        same = same & F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
+    return with_previous(df, [key], order, columns).filter(F.col("_prev").isNull() | ~same).drop("_prev")

@@ -188,6 +188,36 @@ def nearest_series(train: Sequence[tuple[object, np.ndarray]], x: np.ndarray, wi
     return label
 
 
+def nearest_of_all(series: DataFrame, window: int, radius: int = 5, blocks: int = 8) -> DataFrame:
+    """``symbol``, ``nearest``, ``distance``: for each series the other one that is nearest by warping.
+
+    ``series``: symbol, v (array). Queries and candidates are cut into blocks by
+    hash and each pair of blocks is a group; of a group only the best candidate
+    of each query comes out, most pairs being settled by the lower bound.
+    """
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    x = series.filter(F.col("symbol").isNotNull() & F.col("v").isNotNull()).select("symbol", F.col("v").cast("array<double>").alias("v"))
+    both = x.select("*", own.alias("_q"), all_.alias("_c"), F.lit(True).alias("_query")).unionByName(x.select("*", all_.alias("_q"), own.alias("_c"), F.lit(False).alias("_query")))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, candidates = [], [(s, np.asarray(v)) for s, v, q in zip(pdf.symbol, pdf.v, pdf["_query"], strict=True) if not q]
+        for s, v in ((s, np.asarray(v)) for s, v, q in zip(pdf.symbol, pdf.v, pdf["_query"], strict=True) if q):
+            least, name = math.inf, None
+            bounds = sorted(((keogh_bound(v, y, radius), c, y) for c, y in candidates if c != s), key=lambda b: b[:2])
+            for low, c, y in bounds:
+                if low > least:
+                    break
+                if (d := warp_distance(v, y, window)) < least or d == least and c < name:
+                    least, name = d, c
+            if name is not None:
+                out.append((s, name, least))
+        return pd.DataFrame(out, columns=["symbol", "nearest", "distance"])
+
+    top = both.groupBy("_q", "_c").applyInPandas(best, "symbol string, nearest string, distance double")
+    return top.groupBy("symbol").agg(F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest"), F.min("distance").alias("distance"))
+
+
 def cluster_series(series: Sequence[np.ndarray], k: int, window: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
     """k-means with the warping distance: the cluster of each series."""
     x = np.asarray(series, dtype=float)

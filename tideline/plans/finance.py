@@ -381,13 +381,8 @@ def _(t):
 
 @R.query("warp_nearest")
 def _(t):
-    x = days(t).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s")).select(F.lit(1).alias("ts"), F.lit(1).alias("g"), "symbol", F.col("s.close").alias("v"))
-
-    def f(p):
-        s = [(a, np.asarray(v)) for a, v in zip(p.symbol, p.v, strict=True)]
-        return {"pairs": {a: T.nearest_series([y for y in s if y[0] != a], v, 5) for a, v in s}}
-
-    return T.per_group(x, ["g"], f, "pairs map<string,string>").select(F.explode("pairs").alias("symbol", "nearest"))
+    x = days(t).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s")).select("symbol", F.col("s.close").alias("v"))
+    return T.nearest_of_all(x, 5).select("symbol", "nearest")
 
 
 for _name, _f in (("weights_tangency", T.tangency), ("weights_least_variance", T.least_variance)):

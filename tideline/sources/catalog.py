@@ -128,14 +128,18 @@ def adjusted(bars: DataFrame, close: str = "adj_close") -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, spark: SparkSession) -> None:
-    """Append the rows after each symbol's last stored time, partitioned by day."""
+    """Append the rows after each symbol's last stored time, partitioned by day.
+
+    Of what is stored only the columns symbol and ts are read. A day's rows are
+    written by several tasks, by the symbols' hash.
+    """
     try:
         held = ranges(spark.read.parquet(path).select("symbol", "ts")).select("symbol", F.col("end").alias("_end"))
         df = df.join(held, "symbol", "left").filter(F.col("_end").isNull() | (F.col("ts") > F.col("_end"))).drop("_end")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.withColumn("day", F.to_date("ts")).repartition("day").sortWithinPartitions("symbol", "ts").write.mode("append").partitionBy("day").parquet(path)
+    df.withColumn("day", F.to_date("ts")).repartition("day", F.pmod(F.xxhash64("symbol"), F.lit(16))).sortWithinPartitions("day", "symbol", "ts").write.mode("append").partitionBy("day").parquet(path)
 
 
 class Store:
@@ -179,10 +183,12 @@ class Store:
         if where is None:
             fs.delete(p, True)
             return
-        rest, tmp = self.load(name).filter(f"not coalesce({where}, false)"), f"{self._path(name)}-new"
-        rest.write.mode("overwrite").parquet(tmp)
-        fs.delete(p, True)
-        fs.rename(self._fs(tmp)[1], p)
+        new, old = (self._fs(f"{self._path(name)}-{part}")[1] for part in ("new", "old"))
+        self.load(name).filter(f"not coalesce({where}, false)").write.mode("overwrite").parquet(f"{self._path(name)}-new")
+        fs.delete(old, True)  # the table is there whole under one of its names at any time
+        fs.rename(p, old)
+        fs.rename(new, p)
+        fs.delete(old, True)
 
 
 def quote_changes(quotes: DataFrame) -> DataFrame:
