@@ -8,12 +8,13 @@ figures from executions) are DataFrame expressions around it.
 from __future__ import annotations
 
 import copy
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof_join
@@ -418,68 +419,169 @@ class Pipeline(Tracker):
             p.tick(book, tick)
 
 
-def fold(rows: pd.DataFrame, tracker: Tracker, fee: float, levels: Sequence[str], next_tick: bool = False) -> list[tuple]:
-    """Executions of one symbol's ordered rows.
+class Run:
+    """One tracker with its book over ordered signals and ticks.
 
     A signal executes at the last real tick before it (``next_tick``: at the
     first one at or after it). A missing target changes nothing; a target equal
-    to the position neither.
+    to the position neither. Signals without a tick before them do nothing.
     """
-    book, tracker, last, waiting = Book(fee), copy.deepcopy(tracker), None, []
 
-    def execute(tick: Tick, us: int, target: float, text: str | None) -> None:
+    def __init__(self, tracker: Tracker, fee: float, next_tick: bool = False):
+        self.book, self.tracker, self.next_tick, self.last, self.waiting = Book(fee), copy.deepcopy(tracker), next_tick, None, []
+        self.given, self.position = 0, 0.0
+
+    def signal(self, us: int, target: float, text: str | None) -> None:
+        if self.next_tick:
+            self.waiting.append((us, target, text))
+        elif self.last is not None:
+            self._execute(self.last, us, target, text)
+
+    def tick(self, tick: Tick) -> None:
+        if self.waiting and tick.real:
+            for w in self.waiting:
+                self._execute(tick, *w)
+            self.waiting = []
+        self.tracker.guard(self.book, tick)
+        if tick.real:
+            self.tracker.tick(self.book, tick)
+            self.last = tick
+
+    def _execute(self, tick: Tick, us: int, target: float, text: str | None) -> None:
         if text:
-            tracker.info(book, tick, text)
+            self.tracker.info(self.book, tick, text)
         elif target == target:
-            want = tracker.signal(book, tick, target)
-            if want is not None and want == want and want != book.quantity:
-                book.trade(tick, want, "signal", us=us)
+            want = self.tracker.signal(self.book, tick, target)
+            if want is not None and want == want and want != self.book.quantity:
+                self.book.trade(tick, want, "signal", us=us)
+
+    def taken(self) -> list[tuple]:
+        """(us, seq, price, position, quantity, fee, comment, realised) of the executions since the last call."""
+        rows = self.book.rows[1 if self.given else 0 :]
+        out = []
+        for us, price, position, fee, comment, realised in rows:
+            out.append((us, self.given, price, position, position - self.position, fee, comment, realised))
+            self.given, self.position = self.given + 1, position
+        self.book.rows = self.book.rows[-1:]
+        return out
+
 
-    columns = [rows[c].to_numpy() for c in levels]
+def fold(rows: pd.DataFrame, tracker: Tracker, fee: float, levels: Sequence[str], next_tick: bool = False) -> list[tuple]:
+    """Executions of one symbol's ordered rows: kind 1 ticks, the others signals."""
+    run, columns = Run(tracker, fee, next_tick), [rows[c].to_numpy() for c in levels]
     for i, (us, kind, bid, ask, real, target, text) in enumerate(zip(rows["_us"], rows["_kind"], rows.bid, rows.ask, rows.real, rows.target, rows["info"], strict=True)):
-        if kind == 0:
-            if next_tick:
-                waiting.append((us, target, text))
-            elif last is not None:
-                execute(last, us, target, text)
-            continue
-        tick = Tick(us, bid, ask, bool(real), {n: c[i] for n, c in zip(levels, columns, strict=True)})
-        if waiting and tick.real:
-            for w in waiting:
-                execute(tick, *w)
-            waiting = []
-        tracker.guard(book, tick)
-        if tick.real:
-            tracker.tick(book, tick)
-            last = tick
-    return book.rows
+        if kind < 1:
+            run.signal(us, target, text)
+        else:
+            run.tick(Tick(us, bid, ask, bool(real), {n: c[i] for n, c in zip(levels, columns, strict=True)}))
+    return run.book.rows
+
+
+#: Order of rows with one time: the runs, texts, targets, ticks.
+START, TEXT, TARGET, TICK = -2, -1, 0, 1
+#: Groups into which the runs of a symbol are cut; its ticks go once to each.
+GROUPS = 8
+_OUT = (("us", pa.int64()), ("seq", pa.int32()), ("price", pa.float64()), ("position", pa.float64()), ("quantity", pa.float64()), ("fee", pa.float64()), ("comment", pa.string()), ("realised", pa.float64()))
 
 
-def simulate(signals: DataFrame, ticks: DataFrame, tracker: Tracker, fee: float = 0.0, levels: DataFrame | None = None, names: Sequence[str] = (), keys: Sequence[str] = ("symbol",), next_tick: bool = False) -> DataFrame:
-    """Executions (keys, ts, price, position, quantity, fee, comment, realised).
+def _streamed(batches: Iterator[pa.RecordBatch], tracker: Tracker, fee: float, names: Sequence[str], next_tick: bool, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of symbol and group, a batch at a time: all runs of a group go over its ticks once.
 
-    ``signals``: keys, ts, target and maybe info; ``ticks``: symbol, ts, bid, ask,
-    real; ``levels``: symbol, ts and the columns ``names`` that the tracker reads,
-    known from their time on. Signals without a tick before them do nothing.
+    What is held is one batch, and a tracker and a book per run of the group.
+    """
+    group, runs = None, {}
+    for batch in batches:
+        get = {n: batch.column(n).to_pylist() for n in ("_symbol", "_g", "_us", "_kind", "real", "info", *(f"_key_{k}" for k in keys))}
+        numbers = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("bid", "ask", "target", *names)}
+        owners, rows = [], []
+
+        def give(of: dict) -> None:
+            for key, run in of.items():
+                for r in run.taken():
+                    owners.append(key)
+                    rows.append(r)
+
+        for i in range(batch.num_rows):
+            own, kind = (get["_symbol"][i], get["_g"][i]), get["_kind"][i]
+            if own != group:
+                give(runs)
+                group, runs = own, {}
+            if kind == TICK:
+                tick = Tick(get["_us"][i], numbers["bid"][i], numbers["ask"][i], bool(get["real"][i]), {n: numbers[n][i] for n in names})
+                for run in runs.values():
+                    run.tick(tick)
+            else:
+                key = tuple(get[f"_key_{k}"][i] for k in keys)
+                if kind == START:
+                    runs[key] = Run(tracker, fee, next_tick)
+                else:
+                    runs[key].signal(get["_us"][i], numbers["target"][i], get["info"][i])
+        give(runs)
+        if rows:
+            columns = [pa.array([o[j] for o in owners], batch.column(f"_key_{k}").type) for j, k in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(_OUT))], names=[*keys, *(n for n, _ in _OUT)])
+
+
+def simulate(signals: DataFrame, ticks: DataFrame, tracker: Tracker, fee: float = 0.0, levels: DataFrame | None = None, names: Sequence[str] = (), keys: Sequence[str] = ("symbol",), next_tick: bool = False, groups: int = GROUPS) -> DataFrame:
+    """Executions (keys, ts, seq, price, position, quantity, fee, comment, realised).
+
+    ``signals``: keys (symbol among them), ts, target and maybe info; ``ticks``:
+    symbol, ts, bid, ask, real; ``levels``: symbol, ts and the columns ``names``
+    that the tracker reads, known from their time on. Of signals with one time
+    texts go first, then lower targets. With more keys than the symbol each of
+    their values is a run; a symbol's runs are cut into ``groups`` and its ticks
+    go once to each group, in order, however many runs there are. Rows without
+    time or symbol are left out.
     """
     t = asof_join(ticks, levels, ["symbol"], "ts", list(names)).drop("right_ts") if levels is not None else ticks
     info = F.col("info").cast("string") if "info" in signals.columns else F.lit(None).cast("string")
-    s = signals.select(*keys, "ts", F.lit(0).alias("_kind"), F.col("target").cast("double").alias("target"), info.alias("info"))
-    t = t.select("symbol", "ts", F.lit(1).alias("_kind"), "bid", "ask", "real", *names)
-    if tuple(keys) != ("symbol",):
-        t = t.join(s.select(*keys).distinct(), "symbol")
-    x = s.unionByName(t, allowMissingColumns=True).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    own = ", ".join(f"`{k}` {x.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["_us", "_kind"], kind="stable").reset_index(drop=True)
-        out = pd.DataFrame(fold(p, tracker, fee, names, next_tick), columns=["us", "price", "position", "fee", "comment", "realised"])
-        return out.assign(quantity=out.position.diff().fillna(out.position), seq=range(len(out)), **{k: pdf[k].iloc[0] for k in keys})[[*keys, "us", "seq", "price", "position", "quantity", "fee", "comment", "realised"]]
-
-    e = x.groupBy(*keys).applyInPandas(run, f"{own}, us bigint, seq int, price double, position double, quantity double, fee double, comment string, realised double")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    others = [k for k in keys if k != "symbol"]
+    group = F.pmod(F.xxhash64(*others), F.lit(groups)).cast("int") if others else F.lit(0)
+    own = [F.col(k).alias(f"_key_{k}") for k in keys]
+    s = signals.filter(F.col("ts").isNotNull() & F.col("symbol").isNotNull())
+    starts = s.select(*keys).distinct().select(F.col("symbol").alias("_symbol"), group.alias("_g"), F.lit(-(1 << 63)).cast("bigint").alias("_us"), F.lit(START).alias("_kind"), *own)
+    given = s.select(F.col("symbol").alias("_symbol"), group.alias("_g"), micros.alias("_us"), F.when(info.isNotNull(), TEXT).otherwise(TARGET).alias("_kind"), *own, F.col("target").cast("double").alias("target"), info.alias("info"))
+    t = t.filter(F.col("ts").isNotNull()).select(F.col("symbol").alias("_symbol"), micros.alias("_us"), F.lit(TICK).alias("_kind"), *([F.col("leg")] if "leg" in t.columns else []), F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"), "real", *[F.col(n).cast("double").alias(n) for n in names])
+    t = t.join(starts.select("_symbol", "_g").distinct(), "_symbol") if others else t.withColumn("_g", F.lit(0))
+    x = starts.unionByName(given, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
+    order = ["_symbol", "_g", "_us", "_kind", *(["leg"] if "leg" in x.columns else []), *[f"_key_{k}" for k in keys], "target", "info"]
+    schema = ", ".join(f"`{k}` {signals.schema[k].dataType.simpleString()}" for k in keys)
+    e = x.repartition("_symbol", "_g").sortWithinPartitions(*order).mapInArrow(lambda b: _streamed(b, tracker, fee, names, next_tick, keys), f"{schema}, us bigint, seq int, price double, position double, quantity double, fee double, comment string, realised double")
     return e.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
 
 
+def portfolio_log(executions: DataFrame, marks: DataFrame) -> DataFrame:
+    """What each symbol holds at each mark: ``symbol``, ``ts``, ``pos``, ``price``, ``value``, ``pnl``, ``commissions`` (so far).
+
+    ``executions``: of ``simulate``; ``marks``: symbol, ts, bid, ask. Longs are
+    worth the bid, shorts the ask; the PnL is what was realised and what the
+    position would give. An execution at a mark's time counts.
+    """
+    from .portfolio import linear_pnl
+
+    fees = executions.groupBy("symbol", "ts").agg(F.sum("fee").alias("fee"))
+    fees = fees.withColumn("commissions", F.sum("fee").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    x = linear_pnl(executions, marks)
+    x = asof_join(x, fees, ["symbol"], "ts", ["commissions"]).drop("right_ts")
+    price = F.when(F.col("pos") != 0, F.col("value") / F.nullif(F.col("pos"), F.lit(0.0)))
+    return x.select("symbol", "ts", "pos", price.alias("price"), "value", "pnl", F.coalesce("commissions", F.lit(0.0)).alias("commissions"))
+
+
+def convert_cross(amounts: DataFrame, rates: DataFrame, column: str, home: str) -> DataFrame:
+    """``column`` in the currency ``home``, by the rate last known at each row's time.
+
+    ``amounts``: ts, currency and the column; ``rates``: base, quote, ts, rate (how
+    many of the quote one of the base is). Of an amount's own pair with ``home``
+    that way round or the other, whichever is newer counts, the former if both
+    are equally new; without either, none (null). An amount in ``home`` stays.
+    """
+    direct = rates.filter(F.col("quote") == home).select(F.col("base").alias("currency"), "ts", F.col("rate").alias("_k"), F.lit(1).alias("_way"))
+    inverse = rates.filter(F.col("base") == home).select(F.col("quote").alias("currency"), "ts", (1 / F.nullif(F.col("rate"), F.lit(0.0))).alias("_k"), F.lit(0).alias("_way"))
+    x = asof_join(amounts, direct.unionByName(inverse).filter(F.col("_k").isNotNull()), ["currency"], "ts", ["_k"], seq="_way").drop("right_ts")
+    return x.withColumn(f"{column}_converted", F.when(F.col("currency") == home, F.col(column)).otherwise(F.col(column) * F.col("_k"))).drop("_k")
+
+
 def convert(amounts: DataFrame, rates: DataFrame, column: str, invert: bool = False) -> DataFrame:
     """``column`` by the rate of another pair last known at each row's time (``invert``: divided)."""
     x = asof_join(amounts, rates.select("symbol", "ts", "rate"), ["symbol"], "ts", ["rate"]).drop("right_ts")

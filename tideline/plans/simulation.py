@@ -80,25 +80,141 @@ def _levels(t):
     return x.select("symbol", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), *[F.col(c).cast("double").alias(n) for n, c in cols.items()]), list(cols)
 
 
-for _name, _tracker, _needs in (
-    ("partial_takes", S.PartialTakes(size=12, stop_points=15, ladder=((10, 1 / 3), (20, 1 / 2), (30, 1.0))), False),
-    ("stop_orders", S.Triggered(size=10, entry=5, stop_points=15, ladder=((20, 1.0),)), False),
-    ("limit_orders", S.Triggered(size=10, entry=5, kind="limit", stop_points=15, ladder=((20, 1.0),)), False),
-    ("fixed_risk_percent", S.TakeStop(size=10, take_points=30, stop_points=20, percent=True, exact=True), False),
-    ("time_expiration", S.Expiring(after_us=6 * 3_600_000_000, size=10), False),
-    ("atr_stops", S.AtrStop(size=10, take_multiple=1.0, stop_multiple=0.7), True),
-    ("signal_bar_orders", S.SignalBar(size=10, tick_size=0.01, improve=True), True),
-    ("trailing_stop", S.Trailing(size=10), True),
-    ("trailing_sided", S.Trailing(size=10, sided=True), True),
-    ("pyramiding", S.Pyramid(size=10, stop_multiple=1.0, next_multiple=0.3, most=5), True),
-    ("turtles", S.Turtle(size=5, stop_multiple=2.0, next_multiple=0.2), True),
-    ("pipeline_trackers", S.Pipeline(parts=(S.TakeStop(size=10, take_points=20), S.Expiring(after_us=6 * 3_600_000_000))), False),
-):
-
-    @R.query(_name)
+# trackers, and the same folds as recursive SQL -----------------------------------------------------------------------
+
+_MID = "((lb + la) / 2)"
+#: Levels that a bar shows, from the next one on.
+_LEVELS = (
+    f"lv as (select symbol, ts + interval 1 hour as ts, high as bar_high, low as bar_low, case when count(tr) {_w} rows 9 preceding) = 10 then avg(tr) {_w} rows 9 preceding) end as atr, min(low) {_w} rows 9 preceding) as exit_low, max(high) {_w} rows 9 preceding) as exit_high, "
+    f"case when count(high) {_w} rows 9 preceding) = 10 then max(high) {_w} rows 9 preceding) end as hh, case when count(low) {_w} rows 9 preceding) = 10 then min(low) {_w} rows 9 preceding) end as ll "
+    f"from (select *, greatest(high - low, abs(high - lag(close) {_w})), abs(low - lag(close) {_w}))) as tr from bars))"
+)
+
+
+def _fold(state: dict[str, str], steps: list[dict[str, str]], levels: tuple[str, ...] = ()) -> str:
+    """SQL of a tracker: ``state`` its columns and types, ``steps`` what each row does to them in turn.
+
+    The steps see the row (kind 0 signal, 1 tick; ts, us, bid, ask, real, target), the position ``pos``, the executions
+    ``ex`` so far of the row, the last real tick (lb, la) and its ``levels`` (l_...), and the tick before (pb, pa).
+    """
+    cols = {"pos": "double", **state, "lb": "double", "la": "double", "pb": "double", "pa": "double", **{f"l_{n}": "double" for n in levels}}
+    row = ("symbol", "i", "ts", "us", "kind", "bid", "ask", "real", "target", *levels)
+    x = f"select {', '.join('v.' + c for c in row)}, {', '.join('f.' + c for c in cols)}, []::struct(pos double, px double, why varchar)[] as ex from f join v on v.symbol = f.symbol and v.i = f.i + 1"
+    for k, step in enumerate(steps):
+        names = [*row, *cols, "ex"]
+        x = f"select {', '.join(f'{step[c]} as {c}' if c in step else c for c in names)} from ({x}) s{k}"
+    last = {"lb": "case when real then bid else lb end", "la": "case when real then ask else la end", "pb": "coalesce(bid, pb)", "pa": "coalesce(ask, pa)", **{f"l_{n}": f"case when real then {n} else l_{n} end" for n in levels}}
+    start = ", ".join(f"{'0' if c == 'pos' else 'null'}::{t} as {c}" for c, t in cols.items())
+    src = "tk" if not levels else f"(select tk.*, {', '.join('lv.' + n for n in levels)} from tk asof left join lv on tk.symbol = lv.symbol and tk.ts >= lv.ts)"
+    more = "".join(f", {n}" for n in levels)
+    return (
+        _SIG.replace("with ", "with recursive ", 1)
+        + (f", {_LEVELS}" if levels else "")
+        + f", u as (select symbol, ts, 0 as kind, null::double as bid, null::double as ask, false as real, target{''.join(f', null::double as {n}' for n in levels)} from sig union all select symbol, ts, 1, bid, ask, real, null{more} from {src}), "
+        + f"v as (select *, epoch_us(ts) as us, row_number() over (partition by symbol order by ts, kind) as i from u), "
+        + f"f as (select symbol, 0::bigint as i, null::timestamp as ts, {start}, []::struct(pos double, px double, why varchar)[] as ex from v group by 1 union all "
+        + f"select symbol, i, ts, {', '.join(last.get(c, c) for c in cols)}, ex from ({x})), "
+        + "e as (select symbol, ts, i, unnest(ex) as x, generate_subscripts(ex, 1) as k from f where len(ex) > 0), g as (select symbol, ts, row_number() over (partition by symbol order by i, k) as n, x.pos as position, x.px as price, x.why as comment from e), "
+        + "q as (select *, position - coalesce(lag(position) over (partition by symbol order by n), 0) as quantity from g) "
+        + "select symbol, ts, (n - 1)::int as seq, position, quantity, round(price, 6) as price, comment, case when position = 0 then round(-sum(quantity * price) over (partition by symbol order by n), 6) end as realised from q"
+    )
+
+
+_GO = "kind = 0 and lb is not null"
+
+
+def _to(when: str, target: str, price: str, why: str) -> dict[str, str]:
+    """The step that trades to a target: nothing is traded where it is the position already."""
+    return {"ex": f"case when {when} and pos <> {target} then list_append(ex, {{'pos': {target}, 'px': {price}, 'why': {why}}}) else ex end", "pos": f"case when {when} then {target} else pos end"}
+
+
+def _signal(size: str, when: str = _GO) -> dict[str, str]:
+    return _to(when, f"(target * {size})", f"case when target * {size} > pos then la else lb end", "'signal'")
+
+
+_IN_TAKE = "(kind = 1 and ((pos > 0 and bid >= {0}) or (pos < 0 and ask <= {0})))"
+_IN_STOP = "(kind = 1 and ((pos > 0 and ask <= sl) or (pos < 0 and bid >= sl)))"
+_OUT = "case when pos > 0 then ask else bid end"
+
+
+def _take_stop(exact: bool) -> list[dict[str, str]]:
+    hit, out = _IN_TAKE.format("tp"), []
+    out.append(_to(hit, "0", "tp", "'take'") | {"tp": f"case when {hit} then null else tp end", "sl": f"case when {hit} then null else sl end"})
+    out.append(_to(_IN_STOP, "0", "sl" if exact else _OUT, "'stop'") | {"tp": f"case when {_IN_STOP} then null else tp end", "sl": f"case when {_IN_STOP} then null else sl end"})
+    return out
+
+
+def _set(take: str | None, stop: str | None, when: str = _GO) -> dict[str, str]:
+    return {n: f"case when {when} then {v or 'null'} else {n} end" for n, v in (("tp", take), ("sl", stop))}
+
+
+_PARTS = [f"t{k}" for k in range(1, 4)]
+
+
+def _partial(parts: list[tuple[str, float]]) -> list[dict[str, str]]:
+    """Takes that close a part each, then the stop."""
+    out = []
+    for name, part in parts:
+        hit = _IN_TAKE.format(name)
+        left = f"trunc(pos * (1 - {part!r}::double))"
+        out.append(_to(hit, left, name, f"case when {left} = 0 then 'take' else 'part take' end") | {name: f"case when {hit} then null else {name} end", "sl": f"case when {hit} and {left} = 0 then null else sl end"})
+    out.append(_to(_IN_STOP, "0", _OUT, "'stop'") | {"sl": f"case when {_IN_STOP} then null else sl end"})
+    out.append({name: f"case when kind = 1 and pos = 0 then null else {name} end" for name, _ in parts})
+    return out
+
+
+def _orders(kind: str) -> str:
+    way = 1 if kind == "stop" else -1
+    price = f"(case when target > 0 then la else lb end + sign(target) * {5 * way})"
+    up, down = "(pa < op and op <= ask)", "(pb > op and op >= bid)"
+    if kind == "limit":
+        up, down = "(pa > op and op >= ask)", "(pb < op and op <= bid)"
+    fires = f"(kind = 1 and op is not null and case when oq > 0 then {up} else {down} end)"
+    return _fold(
+        {"op": "double", "oq": "double", "sl": "double", "t1": "double"},
+        [
+            {"op": f"case when {_GO} then {price} else op end", "oq": f"case when {_GO} then target * 10 else oq end"},
+            _to(f"coalesce({fires}, false)", "oq", "op", f"'{kind} order'") | {"sl": f"case when {fires} then op - sign(oq) * 15 else sl end", "t1": f"case when {fires} then op + sign(oq) * 20 else t1 end", "op": f"case when {fires} then null else op end"},
+            *_partial([("t1", 1.0)]),
+        ],
+    )
+
+
+_LATE = "(kind = 1 and real and pos <> 0 and us - traded >= 21600000000)"
+
+
+def _expired(size: str) -> list[dict[str, str]]:
+    acts = f"{_GO} and pos <> target * {size}"
+    return [{"traded": f"case when {acts} then us else traded end"}, _signal(size)]
+
+
+_ATR = f"({_GO} and l_atr is not null)"
+_TRACKERS = (
+    ("partial_takes", S.PartialTakes(size=12, stop_points=15, ladder=((10, 1 / 3), (20, 1 / 2), (30, 1.0))), False,
+     _fold({"sl": "double", **dict.fromkeys(_PARTS, "double")}, [{"sl": f"case when {_GO} then {_MID} - sign(target) * 15 else sl end", **{n: f"case when {_GO} then {_MID} + sign(target) * {10 * k} else {n} end" for k, n in enumerate(_PARTS, 1)}}, _signal("12"), *_partial(list(zip(_PARTS, (1 / 3, 1 / 2, 1.0), strict=True)))])),
+    ("stop_orders", S.Triggered(size=10, entry=5, stop_points=15, ladder=((20, 1.0),)), False, _orders("stop")),
+    ("limit_orders", S.Triggered(size=10, entry=5, kind="limit", stop_points=15, ladder=((20, 1.0),)), False, _orders("limit")),
+    ("fixed_risk_percent", S.TakeStop(size=10, take_points=30, stop_points=20, percent=True, exact=True), False,
+     _fold({"tp": "double", "sl": "double"}, [_set(f"{_MID} + sign(target) * 30 * ({_MID} / 100)", f"{_MID} - sign(target) * 20 * ({_MID} / 100)"), _signal("10"), *_take_stop(True)])),
+    ("time_expiration", S.Expiring(after_us=6 * 3_600_000_000, size=10), False, _fold({"traded": "bigint"}, [*_expired("10"), _to(_LATE, "0", "case when pos > 0 then bid else ask end", "'expired'")])),
+    ("atr_stops", S.AtrStop(size=10, take_multiple=1.0, stop_multiple=0.7), True,
+     _fold({"tp": "double", "sl": "double"}, [_set(f"{_MID} + sign(target) * nullif(1.0 * l_atr, 0)", f"{_MID} - sign(target) * nullif(0.7::double * l_atr, 0)", _ATR), _signal("10", _ATR), *_take_stop(False)], ("atr",))),
+    ("signal_bar_orders", S.SignalBar(size=10, tick_size=0.01, improve=True), True, None),
+    ("trailing_stop", S.Trailing(size=10), True, None),
+    ("trailing_sided", S.Trailing(size=10, sided=True), True, None),
+    ("pyramiding", S.Pyramid(size=10, stop_multiple=1.0, next_multiple=0.3, most=5), True, None),
+    ("turtles", S.Turtle(size=5, stop_multiple=2.0, next_multiple=0.2), True, None),
+    ("pipeline_trackers", S.Pipeline(parts=(S.TakeStop(size=10, take_points=20), S.Expiring(after_us=6 * 3_600_000_000))), False,
+     _fold({"tp": "double", "sl": "double", "traded": "bigint"}, [_set(f"{_MID} + sign(target) * 20", None), *_expired("10"), {"traded": f"case when {_IN_TAKE.format('tp')} then us else traded end"}, *_take_stop(False)[:1], _to(_LATE, "0", "case when pos > 0 then bid else ask end", "'expired'")])),
+)
+
+for _name, _tracker, _needs, _sql in _TRACKERS:
+
+    @R.query(_name, _sql)
     def _(t, tracker=_tracker, needs=_needs):
         lv, names = _levels(t) if needs else (None, [])
-        return S.simulate(_sig(t), _ticks(t), tracker, 0.001, lv, names)
+        x = S.simulate(_sig(t), _ticks(t), tracker, 0.001, lv, names)
+        return x.select("symbol", "ts", "seq", "position", "quantity", F.round("price", 6).alias("price"), "comment", F.when(F.col("position") == 0, F.round("realised", 6)).alias("realised"))
 
 
 @R.query("dispatch_trackers")
