@@ -449,7 +449,7 @@ class Run:
 
     def _execute(self, tick: Tick, us: int, target: float, text: str | None) -> None:
         if text:
-            self.tracker.info(self.book, tick, text)
+            self.tracker.info(self.book, tick._replace(us=us), text)  # what it trades, it trades at the text's time
         elif target == target:
             want = self.tracker.signal(self.book, tick, target)
             if want is not None and want == want and want != self.book.quantity:

@@ -29,7 +29,16 @@ def _(t):
     return I.rolling_range(bars(t), "4 hours", 5).select("symbol", "ts", "range_top", "range_bottom")
 
 
-@R.query("fractal_range")
+_SIDES = [k for k in range(-2, 3) if k]
+
+
+@R.query(
+    "fractal_range",
+    f"with {BARS}, d as (select symbol, time_bucket(interval 4 hour, ts) as ts, max(high) as high, min(low) as low from bars group by 1, 2), f as (select symbol, ts, lag(high, 2) {_w}) is not null and lead(high, 2) {_w}) is not null as ok, high, low, greatest("
+    + ", ".join(f"lag(high, {k}) {_w})" for k in _SIDES) + ") as h, least(" + ", ".join(f"lag(low, {k}) {_w})" for k in _SIDES) + ") as l from d), "
+    f"k as (select symbol, ts, lag(case when ok and high > h then high end, 2) {_w}) as u, lag(case when ok and low < l then low end, 2) {_w}) as d from f), r as (select symbol, ts + interval 4 hour as ts, last_value(u ignore nulls) {_w} rows unbounded preceding) as top, last_value(d ignore nulls) {_w} rows unbounded preceding) as bottom from k) "
+    "select b.symbol, b.ts, r.top as range_top, r.bottom as range_bottom from bars b asof left join r on b.symbol = r.symbol and b.ts >= r.ts",
+)
 def _(t):
     return I.fractal_range(bars(t), "4 hours").select("symbol", "ts", "range_top", "range_bottom")
 

@@ -114,10 +114,20 @@ def _(t):
     return _q(P.cut_at_margin(_equity(t), 200.0), "symbol", "ts", ("pnl", 6))
 
 
-@R.query("portfolio_stats")
+_STATS = ("equity", "cagr", "sharpe", "sortino", "volatility", "omega", "tail_ratio", "var", "mdd", "mdd_pct", "stability", "qr", "calmar")
+
+
+@R.query(
+    "portfolio_stats",
+    f"with {_EQ}, e as (select symbol, ts, pnl, coalesce((pnl - lag(pnl) {_w})) / nullif(10000 + lag(pnl) {_w}), 0), 0) as r from eq), x as (select *, exp(sum(ln(1 + r)) {_w})) as c, sum(ln(1 + r)) {_w}) as lc, row_number() {_w})::double as i, count(*) over (partition by symbol) as n, max(pnl) {_w}) - pnl as dd from e), "
+    f"y as (select *, c / greatest(max(c) {_w}), 1) - 1 as d, 2 * (i - 1) / (n - 1) - 1 as j from x), "
+    "a as (select symbol, count(*) as days, 10000 + arg_max(pnl, ts) as equity, power(product(1 + r), 252.0 / count(*)) - 1 as cagr, avg(r) / stddev_samp(r) * sqrt(252) as sharpe, 252 * avg(r) / (sqrt(avg(power(least(r, 0), 2))) * sqrt(252)) as sortino, stddev_samp(r) * sqrt(252) as volatility, "
+    "sum(greatest(r, 0)) / sum(greatest(-r, 0)) as omega, abs(quantile_cont(r, 0.95)) / abs(quantile_cont(r, 0.05)) as tail_ratio, 10000 - 10000 * (avg(r) + stddev_pop(r) * -1.6448536269514722 + 1) as var, max(dd) as mdd, min(d) as mdd_pct, regr_r2(lc, i) as stability, regr_r2(pnl, j) * regr_slope(pnl, j) / sqrt(regr_syy(pnl, j) / count(*) * (1 - regr_r2(pnl, j))) as qr from y group by 1), "
+    "b as (select *, case when mdd_pct < 0 then cagr / abs(mdd_pct) end as calmar from a) select symbol, days, " + ", ".join(f"round({c}, 5) as {c}" for c in _STATS) + " from b",
+)
 def _(t):
-    x = P.portfolio_returns(_equity(t), 10000.0)
-    return P.stats(x, 10000.0)
+    x = P.stats(P.portfolio_returns(_equity(t), 10000.0), 10000.0)
+    return x.select("symbol", "days", *[F.round(c, 5).alias(c) for c in _STATS])
 
 
 _LOG = """lg as (select distinct run, log_id, date, etceth_pnl, etceth_commissions from portfolio_log)"""
@@ -403,11 +413,20 @@ def _(t):
     return per_symbol(bars(t), f, "b_open double, b_volume double, constant double, error double, deviation double")
 
 
-@R.query("rolling_detrend")
+_POLY = np.linalg.qr(np.vander(np.linspace(-1, 1, 20), 3, increasing=True))[0]
+_PARTS = [" + ".join(f"lag(close, {19 - k}) {_w}) * ({_POLY[k, j]:.17g})" for k in range(20)) for j in range(3)]
+
+
+@R.query(
+    "rolling_detrend",
+    f"with {BARS}, q as (select symbol, ts, close, row_number() {_w}) as i, {', '.join(f'{x} as q{j}' for j, x in enumerate(_PARTS))}, sum(close * close) {_w} rows 19 preceding) as yy, sum(close) {_w} rows 19 preceding) as y from bars) "
+    f"select symbol, ts, case when i >= 20 then round(close - ({' + '.join(f'q{j} * ({_POLY[19, j]:.17g})' for j in range(3))}), 6) end as residual, case when i >= 20 then round(1 - (yy - q0 * q0 - q1 * q1 - q2 * q2) / (yy - y * y / 20), 6) end as r2 from q",
+)
 def _(t):
     from ..operators.smoothers import per_symbol
 
-    return per_symbol(bars(t), lambda p: dict(zip(("residual", "r2"), T.rolling_detrend(p.close.to_numpy(), 2, 20), strict=True)), "residual double, r2 double")
+    x = per_symbol(bars(t), lambda p: dict(zip(("residual", "r2"), T.rolling_detrend(p.close.to_numpy(), 2, 20), strict=True)), "residual double, r2 double")
+    return x.withColumns({c: F.round(c, 6) for c in ("residual", "r2")})
 
 
 @R.query("weights_inverse_drawdown", f"with {_EQ}, d as (select symbol, max(dd) as dd from (select symbol, max(pnl) {_w}) - pnl as dd from eq) group by 1) select symbol, round((sum(dd) over () - dd) / ((count(*) over () - 1) * sum(dd) over ()), 9) as weight from d")

@@ -154,12 +154,23 @@ def _(t):
     return S.per_symbol(bars(t), f, "value double").withColumn("value", F.round("value", 6))
 
 
-@R.query("bidirectional_ema")
+@R.query(
+    "bidirectional_ema",
+    f"with recursive {X}, y as (select symbol, v, (count(*) over (partition by symbol) - i + 1)::bigint as i from x), " + ema_cte("a", "x", "v", 10) + ", " + ema_cte("b", "y", "v", 10) + ", n as (select symbol, count(*) as n from x group by 1) "
+    "select x.symbol, x.ts, round((a.e + b.e) / 2, 6) as value from x join n using (symbol) left join a on a.symbol = x.symbol and a.i = x.i left join b on b.symbol = x.symbol and b.i = n.n - x.i + 1",
+)
 def _(t):
-    return S.per_symbol(bars(t), lambda p: {"value": S.both_ways(p.close, 10)}, "value double")
+    return S.per_symbol(bars(t), lambda p: {"value": S.both_ways(p.close, 10)}, "value double").withColumn("value", F.round("value", 6))
 
 
-@R.query("pwma_outliers")
+@R.query(
+    "pwma_outliers",
+    f"with recursive {X}, a as (select symbol, i, 0.0::double as z, 1::bigint as n, v as m1, v * v as m2, 0.0::double as sd from x where i = 1 union all "
+    "select symbol, i, z, n, k * m1 + (1 - k) * v, k * m2 + (1 - k) * v * v, sqrt(abs(k * m2 + (1 - k) * v * v - power(k * m1 + (1 - k) * v, 2))) from ("
+    "select *, case when n >= 30 then 0.98::double * (1 - 0.5 * exp(-z * z / 2) / sqrt(2 * pi())) else 1 - 1.0::double / n end as k from ("
+    "select x.symbol, x.i, x.v, a.m1, a.m2, a.n + 1 as n, case when a.sd > 0 then (x.v - a.m1) / a.sd else 0 end as z from a join x on x.symbol = a.symbol and x.i = a.i + 1))) "
+    "select x.symbol, x.ts, round(z, 6) as z, abs(z) >= 1.959963984540054 as outlier from x join a using (symbol, i)",
+)
 def _(t):
     def f(p):
         step, z, flags = S.PwmaOutlier(0.98, 0.5), [], []
@@ -168,16 +179,23 @@ def _(t):
             flags.append(step.flag)
         return {"z": z, "outlier": flags}
 
-    return S.per_symbol(bars(t), f, "z double, outlier boolean")
+    return S.per_symbol(bars(t), f, "z double, outlier boolean").withColumn("z", F.round("z", 6))
 
 
-@R.query("kalman_regression")
+@R.query(
+    "kalman_regression",
+    f"with recursive {X}, a as (select symbol, i, close / open as b, 0.0::double as c, 0.0::double as p, 0.0::double as q, 0.0::double as q2, 0.0::double as r, close - close / open * open as e, 1.0::double as s from x where i = 1 union all "
+    "select symbol, i, b + g * e, c + h * e, p * (1 - g * x), q * (1 - h), q2 * (1 - g * x), r * (1 - h), e, s from (select *, (p * x + q) / s as g, (q2 * x + r) / s as h from (select *, y - b * x - c as e, x * (p * x + q) + q2 * x + r + 1 as s from ("
+    "select n.symbol, n.i, n.open as x, n.close as y, a.b, a.c, a.p + 1e-4 as p, a.q + 1e-4 as q, a.q2 + 1e-4 as q2, a.r + 1e-4 as r from a join x n on n.symbol = a.symbol and n.i = a.i + 1)))) "
+    "select x.symbol, x.ts, round(b, 5) as beta, round(c, 5) as alpha, round(e, 5) as error, round(s, 5) as variance from x join a using (symbol, i)",
+)
 def _(t):
     def f(p):
         b, e, q = S.kalman_regression(p.open.to_numpy(), p.close.to_numpy(), 1e-4, 1.0)
         return {"beta": b[:, 0], "alpha": b[:, 1], "error": e, "variance": q}
 
-    return S.per_symbol(bars(t), f, "beta double, alpha double, error double, variance double")
+    x = S.per_symbol(bars(t), f, "beta double, alpha double, error double, variance double")
+    return x.withColumns({c: F.round(c, 5) for c in ("beta", "alpha", "error", "variance")})
 
 
 @R.query(
@@ -312,10 +330,66 @@ def _(t):
     return I.halflife(bars(t), "close").withColumn("halflife", F.col("halflife").cast("bigint"))
 
 
-for _name, _f in {
-    "adx": lambda b: I.adx(b, 14), "super_trend": lambda b: I.super_trend(b, 10, 1.0), "explosion": lambda b: I.explosion(b, atr=20), "qqe": lambda b: I.qqe(b),
-    "ssl_exits": lambda b: I.ssl_exits(b, base=20, exit_n=8), "swings": lambda b: I.swings(b), "movements": lambda b: segments.movements(b, "close", 60.0), "movements_percent": lambda b: segments.movements(b, "close", 0.5, percent=True),
-}.items():
+_STOPS = (
+    f"w as (select *, lag(high) {_w}) as h1, lag(low) {_w}) as l1, (high + low) / 2 - 1.0 * a as dn, (high + low) / 2 + 1.0 * a as up from (select *, row_number() {_w}) as i, {_full('tr', 10, f'avg(tr) {_w} rows 9 preceding)')} as a from tr)), "
+    "k as (select symbol, i, ts, high, low, null::double as dn, null::double as up from w where i = 1 union all "
+    "select symbol, i, ts, high, low, case when s_dn is null then k_dn when k_dn is null then s_dn when s_dn <= 0 or high = low then k_dn when l1 > k_dn then greatest(s_dn, k_dn) else s_dn end, "
+    "case when s_up is null then k_up when k_up is null then s_up when s_up <= 0 or high = low then k_up when h1 < k_up then least(s_up, k_up) else s_up end from "
+    "(select w.symbol, w.i, w.ts, w.high, w.low, w.h1, w.l1, w.dn as s_dn, w.up as s_up, k.dn as k_dn, k.up as k_up from k join w on w.symbol = k.symbol and w.i = k.i + 1)), "
+    f"d as (select *, case when high > lag(up) {_w}) then 1.0::double when low < lag(dn) {_w}) then -1.0::double end as d from k), t as (select *, last_value(d ignore nulls) {_w} rows unbounded preceding) as trend from d)"
+)
+
+
+@R.query("super_trend", f"with recursive {BARS}, {_TR}, {_STOPS} select symbol, ts, case when trend = 1 then round(dn, 6) end as utl, case when trend = -1 then round(up, 6) end as dtl, trend from t")
+def _(t):
+    x = I.super_trend(bars(t), 10, 1.0)
+    return x.withColumns({c: F.round(c, 6) for c in ("utl", "dtl")})
+
+
+_MOVE = (
+    "m as (select symbol, i, v as x, v as hi, v as lo, 1::bigint as ih, 1::bigint as il, 0 as side, null::bigint as point from x where i = 1 union all select symbol, i, x, case when up then x when dn then x else h end, case when up then x when dn then x else l end, "
+    "case when up or dn then i else jh end, case when up or dn then i else jl end, case when dn then -1 when up then 1 else side end, case when dn then jh when up then jl end from ("
+    "select *, side >= 0 and h - x >= {t} * {h} and jh < i as dn, not (side >= 0 and h - x >= {t} * {h} and jh < i) and side <= 0 and x - l >= {t} * {l} and jl < i as up from ("
+    "select n.symbol, n.i, n.v as x, m.side, case when n.v > m.hi then n.v else m.hi end as h, case when n.v > m.hi then n.i else m.ih end as jh, case when n.v < m.lo then n.v else m.lo end as l, case when n.v < m.lo then n.i else m.il end as jl from m join x n on n.symbol = m.symbol and n.i = m.i + 1))), "
+    "p as (select symbol, point from m where point is not null), z as (select symbol, arg_max(case when side > 0 then ih when side < 0 then il end, i) as last, max(i) as n from m group by 1), "
+    "q as (select symbol, point from p union select p.symbol, 1::bigint from p union select z.symbol, z.last from z join (select symbol, max(point) as b from p group by 1) b using (symbol) where z.last > b), "
+    f"r as (select q.symbol, x.ts, x.v, lead(x.ts) over (partition by q.symbol order by point) as e, lead(x.v) over (partition by q.symbol order by point) as w from q join x on x.symbol = q.symbol and x.i = q.point) "
+    'select symbol, ts, e as "end", v as start_price, w as end_price, round(w - v, 6) as delta from r where e is not null'
+)
+for _name, _args, _t, _h, _l in (("movements", {"threshold": 60.0}, "60", "1", "1"), ("movements_percent", {"threshold": 0.5, "percent": True}, "0.5", "h", "l")):
+
+    @R.query(_name, f"with recursive {X}, {_MOVE.format(t=_t, h=_h, l=_l)}")
+    def _(t, args=_args):
+        return segments.movements(bars(t), "close", **args).withColumn("delta", F.round("delta", 6))
+
+
+_SIDE = R.sql["psar"].replace("select symbol, ts, round(sar, 6) as psar,", "o as (select symbol, ts, i,", 1)
+_SIDE = _SIDE[: _SIDE.rindex(" from a")] + " from a)"
+
+
+@R.query(
+    "swings",
+    _SIDE.replace("))) o as", "))), o as")
+    + f", b as (select o.*, x.high, x.low from o join x using (symbol, i) where side <> 0), n as (select *, case when side is distinct from lag(side) {_w}) then 1 else 0 end as n from b), g as (select *, sum(n) {_w} rows unbounded preceding) as g from n), "
+    "e as (select symbol, g, side, case when side > 0 then max(high) else min(low) end as price, case when side > 0 then arg_max(ts, (high, -epoch_us(ts))) else arg_min(ts, (low, epoch_us(ts))) end as ts from g group by 1, 2, 3), "
+    f"l as (select *, lead(price) {_w}) as p1, lead(ts) {_w}) as z, lead(side) {_w}) as d from e) select symbol, ts, price as p0, p1, z as \"end\", d as direction, round(abs(p1 - price), 6) as length from l where d is not null",
+)
+def _(t):
+    return I.swings(bars(t)).withColumn("length", F.round("length", 6))
+
+
+@R.query(
+    "explosion",
+    f"with recursive {X}, r as (select x.*, greatest(high - low, abs(high - lag(close) {_w})), abs(low - lag(close) {_w}))) as tr from x), "
+    + ", ".join([ema_cte("a", "x", "v", 20), ema_cte("b", "x", "v", 40), ema_cte("d", "r", "tr", 41)])
+    + f", m as (select x.symbol, x.ts, x.i, a.e - b.e as m, d.e as z, case when count(v) {_w} rows 19 preceding) = 20 then 4 * stddev_pop(v) {_w} rows 19 preceding) end as k from x left join a using (symbol, i) left join b using (symbol, i) left join d using (symbol, i)), "
+    f"c as (select *, (m - lag(m) {_w})) * 150 as c from m) select symbol, ts, round(3.7 * z, 6) as dead_zone, round(k, 6) as explosion, round(case when c > 0 then c else 0 end, 6) as trend_up, round(case when c < 0 then -c else 0 end, 6) as trend_down from c",
+)
+def _(t):
+    return I.explosion(bars(t), atr=20).withColumns({c: F.round(c, 6) for c in ("dead_zone", "explosion", "trend_up", "trend_down")})
+
+
+for _name, _f in {"adx": lambda b: I.adx(b, 14), "qqe": lambda b: I.qqe(b), "ssl_exits": lambda b: I.ssl_exits(b, base=20, exit_n=8)}.items():
 
     @R.query(_name)
     def _(t, f=_f):
