@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frames import by_symbol, trailing
+from ..operators import incremental as N
 from ..operators import indicators as I
 from ..operators import signals as G
 from ..operators import simulate as S
@@ -12,7 +13,7 @@ from ..operators import smoothers
 from ..streaming import flows
 from .base import BARS, bars, days
 from .finance import _ma
-from . import sweep
+from . import sweep, technical
 from .registry import Registry
 
 R = Registry()
@@ -399,6 +400,57 @@ def _(t):
     return x.select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("value", 6).alias("value"))
 
 
+def _live(t, *steps):
+    x = flows.drained(flows.live(flows.events(t.spark, t.folder), "event_type", "ts", "value", "event_id", 3_600_000_000, lambda: N.Several(*(s() for s in steps)), "10 minutes"))
+    names = [c for c in x.columns if c not in ("event_type", "ts")]
+    return x.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.when(~F.isnan(c), F.round(c, 6)).alias(c) for c in names])
+
+
+_TILL = "where ts + interval 1 hour <= (select max(ts) - interval 10 minute from events)"
+
+
+def _full(col: str, n: int, expr: str) -> str:
+    return f"case when count({col}) {_w} rows {n - 1} preceding) = {n} then {expr} end"
+
+
+_BANDS = f"""with {BARS}, r as (select *, greatest(high - low, abs(high - lag(close) {_w})), abs(low - lag(close) {_w}))) as tr from bars),
+m as (select *, {_full('close', 14, f'avg(close) {_w} rows 13 preceding)')} as m, {_full('tr', 10, f'avg(tr) {_w} rows 9 preceding)')} as a from r), d as (select *, power(close - m, 2) as d from m),
+z as (select *, {_full('d', 14, f'sqrt(sum(d) {_w} rows 13 preceding) / 13)')} as s from d)
+select symbol, ts, round(a, 6) as atr, round(m - 2 * s, 6) as lower, round(m + 2 * s, 6) as upper, round(m - 1.5 * a, 6) as lower_atr, round(m + 1.5 * a, 6) as upper_atr from z {_TILL}"""
+
+
+@R.query("stream_bands", _BANDS)
+def _(t):
+    return _live(t, lambda: N.Atr(10), lambda: N.Bollinger(14, 2.0), lambda: N.BollingerAtr(14, 10, 1.5))
+
+
+_RANGES = f"""with {BARS}, z as (select symbol, ts, {_full('low', 5, f'min(low) {_w} rows 4 preceding)')} as low, {_full('high', 5, f'max(high) {_w} rows 4 preceding)')} as high,
+min(low) over (partition by symbol, ts::date order by ts) as day_low, max(high) over (partition by symbol, ts::date order by ts) as day_high,
+{_full('low', 9, f'(max(high) {_w} rows 8 preceding) - close) / nullif(max(high) {_w} rows 8 preceding) - min(low) {_w} rows 8 preceding), 0) * -100')} as williams,
+{', '.join(_full('close', 20, f'quantile_cont(close, {q / 100}) {_w} rows 19 preceding)') + f' as p{q}' for q in (5, 50, 95))} from bars)
+select symbol, ts, {', '.join(f'round({c}, 6) as {c}' for c in ('low', 'high', 'day_low', 'day_high', 'williams', 'p5', 'p50', 'p95'))} from z {_TILL}"""
+
+
+@R.query("stream_ranges", _RANGES)
+def _(t):
+    return _live(t, lambda: N.MinMax(5), N.DayRange, lambda: N.WilliamsR(9), lambda: N.Percentiles(20, (5, 50, 95)))
+
+
+def _denoised(n: int) -> str:
+    return f"case when lag(open, {n}) {_w}) is not null then abs(close - lag(open, {n}) {_w})) * (close - lag(open, {n}) {_w})) / nullif(greatest(sum(abs(close - open)) {_w} rows {n} preceding), abs(close - lag(open, {n}) {_w}))), 0) end"
+
+
+_TRENDS = f"""with {BARS}, d as (select symbol, ts, {_denoised(5)} as f, {_denoised(12)} as s from bars), k as (select *, f - s as k from d where f - s is not null),
+q as (select *, {', '.join(f'quantile_cont(k, {p / 10}) {_w} rows between 19 preceding and 1 preceding) as q{p}' for p in range(1, 11))}, count(k) {_w} rows between 19 preceding and 1 preceding) as n from k),
+r as (select symbol, ts, case when n = 19 then sign(s) * ({' + '.join(f'(q{p} <= k)::int' for p in range(1, 11))}) end as rank from q), m as ({{}})
+select d.symbol, d.ts, m.value as macd, round(s, 6) as trend, rank::double as rank from d left join r using (symbol, ts) left join m using (symbol, ts) {_TILL.replace('ts +', 'd.ts +', 1)}"""
+
+
+@R.query("stream_trends", _TRENDS.format(technical.R.sql["macd"]))
+def _(t):
+    return _live(t, N.Macd, lambda: N.Denoised(12), lambda: N.DeltaRank(5, 12, 20))
+
+
 @R.query("stream_expirations", f"with {_CLOSED} select user_id, date_trunc('milliseconds', max(ts))::timestamp as ts from events, lim group by user_id, l having date_trunc('milliseconds', max(ts)) + interval 1 hour <= l")
 def _(t):
     return flows.drained(flows.expirations(flows.events(t.spark, t.folder), "user_id", "ts", 3_600_000, "10 minutes")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
