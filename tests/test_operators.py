@@ -425,3 +425,15 @@ def test_a_shared_folder_or_an_error():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session._temporary(master)
     assert session._temporary("local[4]").startswith("file://") and session._temporary("local")
+
+
+def test_costs_by_level(spark):
+    rates = spark.createDataFrame([("c", "a", 0.0, 0.01, 0.0, False), ("c", "b", 100.0, 0.005, 0.0, False), ("q", "x", None, 1.0, 2.0, True)], "calculator string, level string, least_volume double, taker double, maker double, of_quantity boolean")
+    day = lambda d: T0 + timedelta(days=d)
+    ex = spark.createDataFrame([(1, day(0), 10.0, 10.0, True), (2, day(1), -2.0, 50.0, True), (3, day(3), 1.0, 10.0, True), (4, day(1), 1.0, 1.0, False), (5, None, 1.0, 1.0, True), (6, day(1), None, 1.0, True)], "seq int, ts timestamp_ntz, quantity double, price double, crossed boolean")
+    of = lambda *a, **k: {r.seq: r.cost for r in portfolio.tiered_costs(ex, rates, *a, **k).collect()}
+    assert of("c", period="day") == {1: 1.0, 2: 0.5, 3: 0.1, 4: 0.0, 5: None, 6: None}
+    assert of("c", "b", period="day")[1] == 0.5 and of("q")[2] == 2.0 and of("q")[4] == 2.0
+    with pytest.raises(ValueError, match="no rates"):
+        of("nobody")
+    assert portfolio.tiered_costs(ex.limit(0), rates, "c").count() == 0

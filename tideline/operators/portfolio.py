@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import by_symbol, small, so_far, trailing
+from ..frames import by_symbol, small, so_far, trailing, with_totals
 from .joins import asof_join, range_join
 from .rolling import with_previous, with_runs
 
@@ -227,6 +227,31 @@ def costs(executions: DataFrame, rates: DataFrame, on: Sequence[str]) -> DataFra
     return x.withColumn("cost", amount * F.when(F.col("crossed"), F.col("taker")).otherwise(F.col("maker")))
 
 
+def tiered_costs(executions: DataFrame, rates: DataFrame, calculator: str, level: str | None = None, period: str = "month") -> DataFrame:
+    """``cost`` of each execution by a named calculator with levels.
+
+    ``rates``: calculator, level, least_volume, taker, maker, of_quantity (the
+    amount is the quantity alone). A ``level`` that is named holds for all; else
+    each calendar period has the level with the largest ``least_volume`` up to the
+    amount traded in the period before (0 without one). Without a rate, a time, a
+    quantity or a price the cost is null; an unknown calculator or level is an
+    error. Columns of ``executions``: ts, quantity, price, crossed.
+    """
+    own = rates.filter((F.col("calculator") == calculator) & (F.lit(True) if level is None else F.col("level") == level))
+    if own.isEmpty():
+        raise ValueError(f"no rates of {calculator} {level or ''}".strip())
+    at = F.date_trunc(period, "ts").cast("timestamp_ntz")
+    before = executions.filter(F.col("ts").isNotNull()).groupBy(at.alias("_at")).agg(F.sum(F.abs(F.col("quantity") * F.col("price"))).alias("_v"))
+    after = (F.col("_at") + F.expr(f"interval 1 {period}")).alias("_at")
+    seen = before.select("_at", F.lit(0.0).alias("_v")).unionByName(before.select(after, F.coalesce("_v", F.lit(0.0)).alias("_v"))).groupBy("_at").agg(F.max("_v").alias("_v"))
+    every = own.agg(F.collect_list(F.struct(F.lit(0.0).alias("least") if level is not None else F.coalesce("least_volume", F.lit(0.0)).alias("least"), "taker", "maker", "of_quantity")).alias("_r"))
+    # one row per calendar period, of which there are few in any span of time
+    tier = with_totals(seen, every).select("_at", F.array_max(F.filter("_r", lambda r: r["least"] <= F.col("_v"))).alias("_t"))
+    x = executions.withColumn("_at", at).join(F.broadcast(tier), "_at", "left")
+    amount = F.abs(F.when(F.col("_t.of_quantity"), F.col("quantity")).otherwise(F.col("quantity") * F.col("price")))
+    return x.withColumn("cost", amount * F.when(F.col("crossed"), F.col("_t.taker")).otherwise(F.col("_t.maker"))).drop("_at", "_t")
+
+
 def traded_volume(executions: DataFrame, period: str) -> DataFrame:
     """Amount traded per symbol and period, by market and limit executions."""
     v = F.abs(F.col("quantity") * F.col("price"))

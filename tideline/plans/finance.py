@@ -207,6 +207,23 @@ def _(t):
     return P.costs(_executions(t), rates, ["symbol"]).select("seq", F.round("cost", 9).alias("cost"))
 
 
+_TIERS = [("house", "low", 0.0, 0.001, 0.0008, False), ("house", "middle", 1500.0, 0.0007, 0.0005, False), ("house", "high", 15000.0, 0.0004, -0.0001, False), ("each", "one", 0.0, 0.01, 0.01, True)]
+_TIER_SQL = "tiers as (select * from (values " + ", ".join(f"('{c}', '{n}', {v}::double, {a}::double, {b}::double, {q})" for c, n, v, a, b, q in _TIERS) + ") as v(calculator, level, least, taker, maker, of_quantity))"
+
+
+@R.query(
+    "tiered_costs",
+    f"with {_EX}, {_TIER_SQL}, d as (select date_trunc('day', ts) as d, sum(abs(quantity * price)) as v from ex group by 1), x as (select ex.*, coalesce(v, 0) as v from ex left join d on date_trunc('day', ex.ts) = d.d + interval 1 day), "
+    "r as (select seq, v, max(least) as least from x join tiers on calculator = 'house' and least <= v group by 1, 2), o as (select taker from tiers where calculator = 'each') "
+    "select x.seq, round(abs(quantity * price) * case when crossed then t.taker else t.maker end, 9) as cost, round(abs(quantity) * o.taker, 9) as each from x join r using (seq) join tiers t on t.calculator = 'house' and t.least = r.least, o",
+)
+def _(t):
+    rates = t.spark.createDataFrame(_TIERS, "calculator string, level string, least_volume double, taker double, maker double, of_quantity boolean")
+    x = P.tiered_costs(_executions(t), rates, "house", period="day").withColumnRenamed("cost", "house")
+    x = P.tiered_costs(x, rates, "each", "one", period="day")
+    return x.select("seq", F.round("house", 9).alias("cost"), F.round("cost", 9).alias("each"))
+
+
 @R.query("traded_volume", f"with {_EX} select symbol, date_trunc('day', ts)::timestamp as ts, round(sum(case when crossed then abs(quantity * price) else 0 end), 6) as market, round(sum(case when not crossed then abs(quantity * price) else 0 end), 6) as limit from ex group by 1, 2".replace(" as limit", ' as "limit"'))
 def _(t):
     return _q(P.traded_volume(_executions(t), "day"), "symbol", "ts", ("market", 6), ("limit", 6))

@@ -389,7 +389,24 @@ def _(t):
     return I.explosion(bars(t), atr=20).withColumns({c: F.round(c, 6) for c in ("dead_zone", "explosion", "trend_up", "trend_down")})
 
 
-for _name, _f in {"adx": lambda b: I.adx(b, 14), "qqe": lambda b: I.qqe(b), "ssl_exits": lambda b: I.ssl_exits(b, base=20, exit_n=8)}.items():
+def _hull(name: str, col: str, n: int, src: str = "x") -> str:
+    """Columns ``name`` of a Hull mean of n rows, as three tables one after the other."""
+    mean = lambda c, k: "(" + " + ".join(f"lag({c}, {k - 1 - j}) {_w}) * {j + 1}" for j in range(k)) + f") / {k * (k + 1) / 2}::double"
+    return f"{name}1 as (select *, {mean(col, n // 2)} as f, {mean(col, n)} as s from {src}), {name}2 as (select *, 2 * f - s as d from {name}1), {name} as (select symbol, i, {mean('d', int(n**0.5))} as e from {name}2)"
+
+
+@R.query(
+    "ssl_exits",
+    f"with recursive {X}, r as (select x.*, greatest(high - low, abs(high - lag(close) {_w})), abs(low - lag(close) {_w}))) as tr from x), {ema_cte('a', 'r', 'tr', 14)}, {_hull('b', 'v', 20)}, {_hull('h', 'high', 8)}, {_hull('l', 'low', 8)}, "
+    "z as (select x.*, a.e as a, b.e as b, h.e as h, l.e as l from x left join a using (symbol, i) left join b using (symbol, i) left join h using (symbol, i) left join l using (symbol, i)), "
+    f"s as (select *, last_value(case when close > h then 1 when close < l then -1 end ignore nulls) {_w} rows unbounded preceding) as s from z), k as (select *, case when s < 0 then h when s > 0 then l end as k from s), p as (select *, lag(close) {_w}) as pc, lag(k) {_w}) as pk from k) "
+    "select symbol, ts, case when pc >= pk and close < k then high end as exit_long, case when pc <= pk and close > k then low end as exit_short, round(case when close > b + 0.2 * a then b end, 6) as grow, round(case when close < b - 0.2 * a then b end, 6) as decline, round(b, 6) as base from p",
+)
+def _(t):
+    return I.ssl_exits(bars(t), base=20, exit_n=8).withColumns({c: F.round(c, 6) for c in ("grow", "decline", "base")})
+
+
+for _name, _f in {"adx": lambda b: I.adx(b, 14), "qqe": lambda b: I.qqe(b)}.items():
 
     @R.query(_name)
     def _(t, f=_f):
