@@ -309,3 +309,27 @@ def test_excursions_beside_the_ends(spark):
         df = spark.createDataFrame(data, "tab int, symbol string, stretch long, t long, id long, x double")
         got = {r.rec_id for r in spikes.implausible(df).filter("flag = 'jump'").collect()}
         assert got == {1, 2, 3, 4, n - 5, n - 4, n - 3, n - 2, 1005, 1000 + n - 6}, cuts[:3]
+
+
+# as-of joins over a crowded day ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """3,000 events of one symbol in one day and one four days later; many lie at the time of one of the other side."""
+    path, rng = tmp_path_factory.mktemp("crowded"), np.random.default_rng(9)
+    at = [np.sort(rng.choice(80_000, 1500, replace=False)), np.sort(rng.choice(80_000, 1500, replace=False))]
+    at[1][::3] = at[0][::3]
+    at[1] = np.append(np.unique(at[1]), 5 * 86_400)
+    write(path, [(10_000 * odd + k, T0 + timedelta(seconds=int(s)), odd, "view", float(k)) for odd in (0, 1) for k, s in enumerate(at[odd])])
+    return path, at
+
+
+@pytest.mark.parametrize("name, side", [("asof_forward", "left")])
+def test_asof_forward_reads_a_day_once(spark, crowded, name, side):
+    folder, (left, right) = crowded
+    want = dict(enumerate(np.searchsorted(right, left, side=side).tolist()))
+    got = {r["event_id"]: (r["value"], r["right_ts"]) for r in run(spark, folder, name)}
+    assert got == {k: (float(j), T0 + timedelta(seconds=int(right[j]))) for k, j in want.items()}
+    # a frame to the end of the shard is read anew for each of its rows
+    assert "unboundedfollowing" not in entry.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString().lower()

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import us
+from ..frames import so_far, us
 from .rolling import with_index
 
 
@@ -37,10 +37,10 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, c
     # equal times: the right row first if it may match, else the left one
     left_first = strict if back else not strict
     rank = F.when(F.col("_is"), 0 if left_first else 1).otherwise(1 if left_first else 0)
-    w = Window.partitionBy(*keys, "_shard").orderBy("_t", rank, F.col("_r.s"))
-    reach = w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
-    carry = F.last if back else F.first
-    own = both.withColumn("_m", carry("_r", ignorenulls=True).over(reach)).filter("_is")
+    # forward from the end: a frame that runs from the row to the end would be gone through anew for every row
+    order = [c if back else c.desc() for c in (F.col("_t"), rank, F.col("_r.s"))]
+    w = Window.partitionBy(*keys, "_shard").orderBy(*order)
+    own = both.withColumn("_m", F.last("_r", ignorenulls=True).over(so_far(w))).filter("_is")
     edge = r.groupBy(*keys, F.floor(F.col("_t") / width).alias("_shard")).agg((F.max if back else F.min)("_r").alias("_e"))
     # the nearest shard with right rows before (after) each shard that has left rows
     shards = lt.select(*keys, F.floor(F.col("_t") / width).alias("_shard")).distinct().withColumn("_e", F.lit(None).cast(edge.schema["_e"].dataType)).withColumn("_want", F.lit(True))
