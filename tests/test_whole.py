@@ -325,7 +325,7 @@ def crowded(tmp_path_factory):
     return path, at
 
 
-@pytest.mark.parametrize("name, side", [("asof_forward", "left")])
+@pytest.mark.parametrize("name, side", [("asof_forward", "left"), ("asof_forward_strict", "right")])
 def test_asof_forward_reads_a_day_once(spark, crowded, name, side):
     folder, (left, right) = crowded
     want = dict(enumerate(np.searchsorted(right, left, side=side).tolist()))
